@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from mnemora.llm import decontaminate, exact_dedup
+from mnemora.llm import decontaminate, exact_dedup, secrets
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_secret_scan": secrets.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
 }
