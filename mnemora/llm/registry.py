@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from mnemora.llm import decontaminate, exact_dedup, secrets
+from mnemora.llm import decontaminate, exact_dedup, licenses, secrets
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_license_scan": licenses.op5_license_scan,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
+    "op5_license_scan": licenses.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
 }
