@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mnemora.llm import decontaminate, exact_dedup, licenses, secrets
+from mnemora.llm import decontaminate, exact_dedup, licenses, pieces, secrets
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
