@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemora.llm import decontaminate, exact_dedup, licenses, pieces, secrets
+from mnemora.llm import decontaminate, exact_dedup, licenses, pieces, secrets, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_license_scan": licenses.op5_license_scan,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
