@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemora.llm import decontaminate, exact_dedup, licenses, pieces, secrets, toxicity
+from mnemora.llm import decontaminate, exact_dedup, licenses, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op7_quality_classifier": quality.op7_quality_classifier,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
