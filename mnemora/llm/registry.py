@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mnemora.llm import decontaminate, exact_dedup, licenses, pieces, quality, secrets, toxicity
+from mnemora.llm import decontaminate, exact_dedup, html_text, licenses, pieces, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_html_extraction": html_text.op1_html_extraction,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
