@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mnemora.llm import decontaminate, exact_dedup, html_text, licenses, pieces, quality, secrets, toxicity
+from mnemora.llm import decontaminate, exact_dedup, html_text, licenses, ngram_join, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_quality_classifier": quality.op7_quality_classifier,
 }
 ORACLE_SQL = {
+    "op2_ngram_join": ngram_join.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_secret_scan": secrets.ORACLE,
     "op5_license_scan": licenses.ORACLE,
