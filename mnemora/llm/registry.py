@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemora.llm import decontaminate, exact_dedup, html_text, licenses, ngram_join, pieces, quality, secrets, toxicity
+from mnemora.llm import decontaminate, exact_dedup, html_text, licenses, ngram_join, pieces, quality, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
 }
 ORACLE_SQL = {
