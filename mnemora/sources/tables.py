@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,6 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most ids that are broadcast: some 8 bytes each. Beyond it a join is an ordinary one.
+BROADCAST_IDS = 2_000_000
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """`df` without the rows whose `key` is in the one column of `ids` (null equals null).
+
+    The ids are counted first: up to BROADCAST_IDS are broadcast, so that `df` needn't be shuffled.
+    """
+    ids = written(ids.toDF("_id").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return df.join(ids, df[key].eqNullSafe(ids["_id"]), "left_anti")
+
+
 def release() -> None:
     """Delete every table that `written` made in this process."""
     while _written:
