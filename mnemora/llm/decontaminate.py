@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.llm.words import BREAKS, LOWER, UPPER, spaced, words
-from mnemora.sources.tables import table, written
+from mnemora.sources.tables import table, without, written
 
 WINDOW = 13
 #: Most windows in one broadcast: about 300 bytes each.
@@ -95,8 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """`docs` without contaminated rows; same columns."""
-    bad = contamination(docs, items, id_col, text_col, **kw).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, contamination(docs, items, id_col, text_col, **kw).where("contaminated").select("doc_id"), id_col)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

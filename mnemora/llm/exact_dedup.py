@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm.words import LOWER, UPPER, ascii_lower
-from mnemora.sources.tables import table, written
+from mnemora.sources.tables import table, without, written
 
 #: A digest with at least this share of the rows is surely found by the summary.
 SUPPORT = 0.001
@@ -49,8 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """`docs` without the rows whose text another row with a larger id has; same columns."""
-    gone = exact_groups(docs, id_col, text_col, support).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return without(docs, exact_groups(docs, id_col, text_col, support).where("not kept").select("doc_id"), id_col)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm.components import components
-from mnemora.sources.tables import table, written
+from mnemora.sources.tables import table, without, written
 
 SHINGLE = 5
 #: The threshold as a fraction.
@@ -285,8 +285,7 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """`docs` without the rows whose group holds a smaller id; same columns."""
-    gone = linked_groups(docs, id_col, text_col, n).where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, linked_groups(docs, id_col, text_col, n).where("component_id < doc_id").select("doc_id"), id_col)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
