@@ -237,9 +237,11 @@ def counted(rows: DataFrame, keep_first: bool, length: int, seed: int) -> DataFr
                 yield _batch(out, ["w1", "w2", "c", "doc_id", "pos", "a"])
 
     strings = written(rows.select("h", "c", "doc_id", "pos", "left", "right").mapInArrow(run, "w1 long, w2 long, c long, doc_id long, pos long, a long"), "strings")
-    many = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "pos")).alias("first")).where("k > 1")
+    # a string may lie around several anchors of its bucket: it counts once for each place where it starts
+    strings = strings.withColumn("at", F.col("pos") - F.col("a")).dropDuplicates(["w1", "w2", "doc_id", "at"])
+    many = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "at")).alias("first")).where("k > 1")
     hit = strings.join(many, ["w1", "w2"])
-    hit = hit.where(F.struct("doc_id", "pos") != F.col("first")) if keep_first else hit.where("c = 1")
+    hit = hit.where(F.struct("doc_id", "at") != F.col("first")) if keep_first else hit.where("c = 1")
     return hit.groupBy("doc_id", "pos").agg(F.max("a").alias("far"), F.min("a").alias("near")).select("doc_id", (F.col("pos") - F.col("far")).alias("s"), (F.col("pos") - F.col("near") + length).alias("e"))
 
 
