@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions.porter import with_stem
 from mnemora.functions.text import casefold
 from mnemora.operators.index import BASES, Index
+from mnemora.sources.tables import bounded
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Reciprocal rank fusion.
@@ -17,13 +18,6 @@ WEIGHTS = {
     ("any", "raw"): 1.0, ("any", "raw_porter"): 1.0, ("any", "fact"): 1.0, ("any", "fact_porter"): 1.0, ("any", "context"): 0.5, ("any", "context_porter"): 0.5,
     ("both", "raw"): 0.0, ("both", "raw_porter"): 0.0, ("both", "context_porter"): 0.0,
 }
-#: Most rows of query tokens that are broadcast to the postings.
-BROADCAST = 200_000
-
-
-def bounded(df: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """`df` to be broadcast if it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def query_tokens(phrases: DataFrame, channels: list[tuple[str, str]]) -> DataFrame:

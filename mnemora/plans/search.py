@@ -9,7 +9,7 @@ from mnemora.operators import rank
 from mnemora.operators.analyse import analysed, phrases
 from mnemora.operators.index import Index
 from mnemora.operators.model import MOST_TERMS, Model, allowed_order, strings
-from mnemora.sources.tables import written
+from mnemora.sources.tables import bounded, written
 
 MOST_RESULTS = 100
 
@@ -27,9 +27,9 @@ def candidates(queries: DataFrame, index: Index, messages: DataFrame, bonus: flo
     """All fused candidates: query_id, message, content, created_at, event_ts, rrf and score."""
     q = written(analysed(queries), "queries")
     ranks = rank.ranked(rank.bm25(phrases(q), index, channels or rank.all_channels()), q)
-    best = rank.bounded(written(rank.fused(ranks), "fused"))
+    best = bounded(written(rank.fused(ranks), "fused"))
     own = messages.select(F.col("id").alias("message"), "content", "created_at", "event_ts").join(best, "message")
-    return rank.with_time(own.join(rank.bounded(q.select("query_id", "direction")), "query_id"), bonus)
+    return rank.with_time(own.join(bounded(q.select("query_id", "direction")), "query_id"), bonus)
 
 
 def search(queries: DataFrame, index: Index, messages: DataFrame, bonus: float = 0.0, model: Model | None = None, channels: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def search(queries: DataFrame, index: Index, messages: DataFrame, bonus: float =
         kept = kept.join(lists.select("query_id", order.alias("order")), "query_id")
         at = F.coalesce(F.nullif(F.array_position("order", F.col("id")), F.lit(0)), F.size("order") + 1)
         kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(at, "place")))
-    out = kept.join(rank.bounded(asked.select("query_id", "top_k")), "query_id").where("place <= top_k")
+    out = kept.join(bounded(asked.select("query_id", "top_k")), "query_id").where("place <= top_k")
     return out.select("query_id", F.col("place").cast("long").alias("place"), "id", "content", F.bround("score", 6).alias("score"), "created_at")
 
 
@@ -61,5 +61,5 @@ def baseline(queries: DataFrame, index: Index, messages: DataFrame) -> DataFrame
     q = analysed(queries).withColumn("terms", F.col("raw")).withColumn("entities", F.array().cast("array<string>"))
     q = written(q.withColumn("pool", F.col("top_k")), "queries")
     best = rank.ranked(rank.bm25(phrases(q), index, [("any", "raw")]), q)
-    own = messages.select(F.col("id").alias("message"), "content", "created_at").join(rank.bounded(best), "message")
+    own = messages.select(F.col("id").alias("message"), "content", "created_at").join(bounded(best), "message")
     return own.select("query_id", F.col("rank").cast("long").alias("place"), F.concat(F.lit("mem_"), F.col("message").cast("string")).alias("id"), "content", F.bround("score", 6).alias("score"), "created_at")

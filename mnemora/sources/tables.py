@@ -50,6 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
+def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """`df` with a hint to broadcast it if it has at most `most` rows; else without one."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """`df` without the rows whose `key` is in the one column of `ids` (null equals null).
 
