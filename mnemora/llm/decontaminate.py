@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.llm.words import BREAKS, LOWER, UPPER, spaced, words
-from mnemora.sources.tables import table, without, written
+from mnemora.sources.tables import bounded, table, without, written
 
 WINDOW = 13
 #: Most windows in one broadcast: about 300 bytes each.
@@ -49,8 +49,8 @@ def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """Each window with its rarest shingle over `docs` (as `tokens`) and the place of that in it."""
     vocabulary = wins.select(F.explode("win").alias("token")).distinct()
-    counts = docs.select(F.explode("ws").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    places = wins.select("win", "items", F.posexplode("win").alias("offset", "token")).join(F.broadcast(written(counts, "token-counts")), "token", "left")
+    counts = docs.select(F.explode("ws").alias("token")).join(bounded(vocabulary, 5 * BLOCK), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    places = wins.select("win", "items", F.posexplode("win").alias("offset", "token")).join(bounded(written(counts, "token-counts"), 5 * BLOCK), "token", "left")
     by_rarity = Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "token", "offset")
     return places.withColumn("r", F.row_number().over(by_rarity)).where("r = 1").select("token", "offset", "win", F.size("win").alias("len"), "items")
 
