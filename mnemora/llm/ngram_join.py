@@ -5,13 +5,17 @@ set form a class, found by digest. A count sketch of fixed size over all documen
 the global order: rare buckets first, then by hash. If two sets' similarity reaches the threshold,
 their first n - ceil(t n) + 1 shingles in this order share one, so only these prefixes are compared.
 Shingles that stand in one prefix only are dropped. Candidates pass the length filter and the positional
-filter, then the suffix filter, and each pair left is verified once on the whole sets.
-
-A large group of near copies would make all its pairs candidates. They are found in two steps
-instead, which lose no link that joins groups: first each member of a prefix list is compared with
-one pivot of the list (a star); groups found so far are then resolved, and only pairs in different
-groups are compared after that. So pairs inside a group are never all made, and no partner,
-candidate or row is capped.
+filter, a bound on how many shingles both prefixes must hold, then the suffix filter, and each pair left is verified once on the whole sets.
+
+A large group of near copies would make all its pairs candidates, and many of them links. Only the
+groups that links join are asked for, so pairs are never made as rows. First each document is
+compared with one pivot, the first member of the prefix lists that it shares most (a star). Pairs
+that are linked give groups; pairs of similarity 1/2 or more give families, which hold whole clouds of
+near copies, linked or not. Then only families that hold different groups, or that share a prefix
+shingle with another group's family, are looked at again: a family's documents are brought
+together in blocks of at most BLOCK, with at most GUESTS of others at a time, and the exact overlaps of all
+pairs in a block are had from one matrix product. A block gives a spanning tree of its links.
+No partner, candidate or row is capped, and no link that joins groups is lost.
 
 Joins split skewed keys at run time; counts and minima combine on the map side; intermediate tables
 are written to the shared folder. The sketch (1 MB) is all that the driver ever holds.
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.llm.components import components
@@ -39,12 +43,18 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 SKETCH = 1 << 18
 PARTS = 16
-#: Most rows in what is broadcast of ids: 8 bytes each; beyond it the join is an ordinary one.
-BROADCAST = 2_000_000
+#: Most rows in what is broadcast of ids: 8 or 16 bytes each; beyond it the join is an ordinary one.
+BROADCAST = 1_000_000
+#: From this count of its bucket on, a shingle's list is never brought to one task.
+HOT = 1_000_000
+SALT = 64
+#: Documents of a family in one block, and others that are compared with it at a time.
+BLOCK, GUESTS = 1500, 3000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+_TOP = np.uint64((1 << 24) - 1)
 _blank = np.zeros(256, bool)
 _blank[[32, *range(9, 14)]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -89,9 +99,10 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     with np.errstate(over="ignore"):
         k = min(n, len(w))
         h = np.full(len(w) - k + 1, k, np.uint64)
-        for i in range(k):
-            h = _mixed(h * _MIX[2 + i % 5] + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+        for i in range(k):  # words' hashes are mixed already, so a sum with other factors will do
+            h += w[i : len(w) - k + 1 + i] * (_MIX[2 + i % 5] + np.uint64(2 * (i // 5)))
+        h = np.sort(_mixed(h))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
@@ -142,8 +153,11 @@ def sketch(found: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, n: int = SHINGLE) -> DataFrame:
-    """(token, node, n, pos) of every prefix shingle; within a task only the first of equal sets is a node."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
+    """(token, node, n, pos, hot) of every prefix shingle; within a task only the first of equal sets is a node.
+
+    A shingle is hot if its bucket's count is at least HOT; others stand in fewer sets than that.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, done = shared.value, set()
@@ -152,7 +166,7 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int = SHINGLE) -> DataFrame
         def out() -> pa.RecordBatch:
             cols = [np.concatenate(c) for c in zip(*held)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], ["token", "node", "n", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], ["token", "node", "n", "pos", "hot"])
 
         size = 0
         for b in batches:
@@ -166,8 +180,9 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int = SHINGLE) -> DataFrame
                 done.add(key)
                 p = prefix_size(len(s))
                 rank = order[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                first = np.lexsort((s, rank))[:p]
-                held.append([s[first], np.full(p, i, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)])
+                # s is sorted and the sort is stable, so equal keys stay in the order of the hashes
+                first = np.argsort(np.minimum(rank, _TOP) << np.uint64(40) | s >> np.uint64(24), kind="stable")[:p]
+                held.append([s[first], np.full(p, i, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), rank[first] >= HOT])
                 size += p
                 if size > 100_000:
                     yield out()
@@ -175,7 +190,7 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int = SHINGLE) -> DataFrame
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "token long, node long, n int, pos int")
+    return docs.mapInArrow(run, "token long, node long, n int, pos int, hot boolean")
 
 
 def _filters(a: str, b: str) -> F.Column:
@@ -203,36 +218,126 @@ def suffix_passes(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) -> bo
     return True
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose similarity reaches the threshold."""
-    ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the ids in the one column of `ids`."""
+    ids = written(ids.toDF("node").distinct(), "nodes")
     few = ids.count() <= BROADCAST
-    mine = docs.withColumnRenamed("doc_id", "node").join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    return docs.withColumnRenamed("doc_id", "node").join(F.broadcast(ids) if few else ids, "node", "left_semi").select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in part.column(1)], pa.binary())], ["node", "set"])
 
-    sets = written(mine.select("node", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
-    left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+def verified(pairs: DataFrame, docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose similarity is at least 1/2, with `linked`: whether it reaches the threshold."""
+    # texts are half as large as their sets of hashes
+    texts = written(texts_of(pairs.select("a").union(pairs.select("b")), docs), "texts")
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     both = pairs.select("a", "b").join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, str], np.ndarray] = {}
+
+        def set_of(node: int, text: str) -> np.ndarray:
+            if len(known) > 256:
+                known.clear()
+            return known.get((node, text)) if (node, text) in known else known.setdefault((node, text), shingles(text, n))
+
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = -(-NUM * (len(x) + len(y)) // (NUM + DEN))
-                ok = suffix_passes(x, y, need)
-                if ok:
+            keep, linked = [], []
+            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                x, y = set_of(i, x.as_py()), set_of(j, y.as_py())
+                same = 0
+                if suffix_passes(x, y, -(-(len(x) + len(y)) // 3)):
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    ok = DEN * same >= NUM * (len(x) + len(y) - same)
-                keep.append(ok)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep.append(2 * same >= len(x) + len(y) - same)
+                linked.append(DEN * same >= NUM * (len(x) + len(y) - same))
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
+
+
+def overlaps(hosts: list[np.ndarray], guests: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each guest (row) shares with each host (column).
+
+    Shingles of two hosts or more are columns of a matrix; those of one host are counted one by one.
+    """
+    out = np.zeros((len(guests), len(hosts)), np.int64)
+    if len(hosts) * len(guests) <= 4:
+        for g, x in enumerate(guests):
+            for h, y in enumerate(hosts):
+                out[g, h] = len(np.intersect1d(x, y, assume_unique=True))
+        return out
+    owner = np.repeat(np.arange(len(hosts)), [len(h) for h in hosts])
+    words, first, at, times = np.unique(np.concatenate(hosts), return_index=True, return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
+    wide = int((times > 1).sum())
+    single = owner[first]
+    step = max(1, 8_000_000 // max(1, wide))
+    many = column[at] >= 0
+    rows = []
+    for g, x in enumerate(guests):
+        k = np.minimum(np.searchsorted(words, x), len(words) - 1)
+        k = k[words[k] == x]
+        rows.append(column[k][column[k] >= 0])
+        np.add.at(out[g], single[k[column[k] < 0]], 1)
+    for a in range(0, len(hosts), step):
+        part = many & (owner >= a) & (owner < a + step)
+        m = np.zeros((min(step, len(hosts) - a), wide), np.float32)
+        m[owner[part] - a, column[at[part]]] = 1
+        for c in range(0, len(guests), step):
+            some = rows[c : c + step]
+            q = np.zeros((len(some), wide), np.float32)
+            q[np.repeat(np.arange(len(some)), [len(r) for r in some]), np.concatenate(some)] = 1
+            out[c : c + step, a : a + step] += np.rint(q @ m.T).astype(np.int64)
+    return out
+
+
+def spanning(hosts: list[np.ndarray], guests: list[np.ndarray], inside: bool) -> np.ndarray:
+    """For hosts and then guests, the number of the first of these that links join each to."""
+    everyone = hosts + guests
+    label = np.arange(len(everyone))
+    if not hosts or len(everyone) < 2:
+        return label
+    others = everyone if inside else guests
+    size = lambda sets: np.array([len(x) for x in sets], np.int64)
+    same = overlaps(hosts, others)
+    linked = DEN * same >= NUM * (size(others)[:, None] + size(hosts)[None, :] - same)
+    start = 0 if inside else len(hosts)
+    big = len(everyone)
+    while True:
+        old = label.copy()
+        near = np.where(linked, label[: len(hosts)][None, :], big).min(1)
+        label[start:] = np.minimum(label[start:], near)
+        near = np.where(linked, label[start:][:, None], big).min(0)
+        label[: len(hosts)] = np.minimum(label[: len(hosts)], near)
+        label = np.minimum(label, label[label])
+        if (label == old).all():
+            return label
+
+
+def joined(blocks: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) of spanning trees of the links in each block; rows are (key, host, inside, node, text)."""
+
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda r: not r[1])
+        nodes, sets = [r[3] for r in held], [shingles(r[4], n) for r in held]
+        k = sum(r[1] for r in held)
+        label = spanning(sets[:k], sets[k:], held[0][2])
+        edges = [(nodes[i], nodes[j]) for i, j in enumerate(label.tolist()) if nodes[i] != nodes[j]]
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if held and row[0] != held[-1][0]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    dealt = blocks.repartition("key").sortWithinPartitions("key").select("key", "host", "inside", "node", "text")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
@@ -243,20 +348,33 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = found.where("part is null").select("doc_id", "n", "digest")
     reps = written(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
 
-    raw = written(postings(docs, counts, n), "postings")
-    shared = raw.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    lists = written(raw.join(shared, "token"), "lists")
+    # rows that aren't their class's first needn't be compared; more than can be broadcast are borne
+    others = written(rows.join(reps, "digest").where("doc_id <> rep").select("doc_id").distinct(), "others")
+    first = docs.join(F.broadcast(others), "doc_id", "left_anti") if others.count() <= BROADCAST else docs
 
-    # a star in each list and length band
+    # lists of at most HOT nodes are counted and given a pivot for each length band in their own sort;
+    # the lists of hot shingles are dealt out by a salt, and kept uncounted
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
-    banded = lists.withColumn("band", band)
-    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "band", "p")
-    near = banded.select("token", "band", F.struct("node", "n", "pos").alias("q")).join(pivots, ["token", "band"]).where(F.col("p.node") != F.col("q.node"))
-    tried = written(near.where(_filters("p", "q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "pairs")
-    links = written(verified(tried, docs, n), "links")
+    salt = F.when(F.col("hot"), 1 + F.pmod(F.col("node"), F.lit(SALT))).otherwise(F.lit(0)).cast("int")
+    list_ = Window.partitionBy("token", "salt")
+    raw = postings(first, counts, n).withColumn("salt", salt).withColumn("k", F.count(F.lit(1)).over(list_)).where("k > 1 or hot").drop("k")
+    banded = raw.withColumn("band", band).withColumn("p", F.min(F.struct("node", "n", "pos")).over(Window.partitionBy("token", "salt", "band")))
+    lists = written(banded.select("token", "hot", "band", F.struct("node", "n", "pos").alias("q"), "p"), "lists")
+
+    # a star in each list and length band; hot lists' pivots are combined on the map side
+    near = lists.where("not hot").select("q", "p")
+    if lists.where("hot").limit(1).count():
+        pivots = lists.where("hot").groupBy("token", "band").agg(F.min("q").alias("p"))
+        near = near.unionByName(lists.where("hot").select("token", "band", "q").join(pivots, ["token", "band"]).select("q", "p"))
+    near = near.where((F.col("p.node") != F.col("q.node")) & _filters("p", "q"))
+    # of a node's pivots the one it shares most lists with; what the others would link is left to the second step
+    near = near.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    tried = written(near.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
+    near_pairs = written(verified(tried, docs, n), "links")
+    links = near_pairs.where("linked")
 
     # nodes' classes; groups so far
-    nodes = lists.select(F.col("node").alias("doc_id")).distinct()
+    nodes = lists.select(F.col("q.node").alias("doc_id")).distinct()
     of = written(rows.where("n > 0").join(nodes, "doc_id", "left_semi").join(reps, "digest").select(F.col("doc_id").alias("node"), "rep").distinct(), "node-classes")
 
     def classed(pairs: DataFrame) -> DataFrame:
@@ -265,18 +383,51 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     edges = classed(links)
     groups = written(components(edges), "groups")
-    group = of.join(groups, of["rep"] == groups["node"], "left").select(of["node"], F.coalesce("root", "rep").alias("root"))
-
-    # pairs in different groups that still share a prefix shingle
-    open_ = lists.join(group, "node").select("token", "root", F.struct("node", "n", "pos").alias("q"))
-    open_ = written(open_, "grouped")
-    mixed = open_.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    rest = written(open_.join(mixed, "token"), "mixed")
-    one, two = rest.select("token", F.col("root").alias("r1"), F.col("q").alias("p")), rest.select("token", F.col("root").alias("r2"), "q")
-    cross = one.join(two, "token").where((F.col("r1") != F.col("r2")) & (F.col("p.node") < F.col("q.node")) & _filters("p", "q"))
-    cross = cross.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    cross = written(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = classed(written(verified(cross, docs, n), "links"))
+    family = components(near_pairs).withColumnRenamed("root", "family")
+    members = of.join(groups, of["rep"] == groups["node"], "left").select(of["node"], F.coalesce("root", "rep").alias("root"))
+    members = members.join(family, "node", "left").select("node", "root", F.coalesce("family", "node").alias("family"))
+    members = written(members, "members")
+    families = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    families = written(families.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "families")
+
+    # families that share a prefix shingle and aren't all in one group; bounds of their members take the filters' places
+    member = F.broadcast(members) if members.count() <= BROADCAST else members
+    seen = lists.join(member, lists["q.node"] == members["node"]).groupBy("token", "family")
+    seen = seen.agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("q.n").alias("n0"), F.max("q.n").alias("n1"), F.max("q.pos").alias("pos"), F.max(F.col("q.n") - F.col("q.pos")).alias("left"))
+    seen = written(seen, "seen")
+    mixed = written(seen.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("k")).where("k > 1 and lo < hi").select("token"), "mixed")
+    rest = written(seen.join(F.broadcast(mixed) if mixed.count() <= BROADCAST else mixed, "token"), "rest")
+    one, two = rest.alias("p"), rest.alias("q")
+    most = F.least(F.col("p.pos"), F.col("q.pos")) + F.least(F.col("p.left"), F.col("q.left"))
+    could = (DEN * F.least(F.col("p.n1"), F.col("q.n1")) >= NUM * F.greatest(F.col("p.n0"), F.col("q.n0"))) & ((NUM + DEN) * most >= NUM * (F.col("p.n0") + F.col("q.n0")))
+    met = one.join(two, F.col("p.token") == F.col("q.token")).where((F.col("p.family") < F.col("q.family")) & (F.least("p.lo", "q.lo") < F.greatest("p.hi", "q.hi")) & could)
+    # Of the overlap that is needed, NUM / (NUM + DEN) of both sizes, at most NUM / DEN of the larger one
+    # can lie behind the prefixes; so many shingles must be in both prefixes.
+    met = met.groupBy(F.col("p.family").alias("f1"), F.col("q.family").alias("f2")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("p.n0", "q.n0")).alias("least"), F.max(F.greatest("p.n1", "q.n1")).alias("most"))
+    inside_both = DEN * (NUM + DEN) * F.col("k") >= NUM * DEN * F.col("least") - NUM * NUM * F.col("most")
+    met = written(met.where(inside_both).select("f1", "f2"), "met")
+
+    # the larger family is the host; its own other blocks are guests too if it holds several groups
+    size = families.select("family", "size", "blocks", "lo", "hi")
+    left, right = size.select(F.col("family").alias("f1"), F.col("size").alias("s1")), size.select(F.col("family").alias("f2"), F.col("size").alias("s2"))
+    met = met.join(left, "f1").join(right, "f2")
+    first_hosts = (F.col("s1") > F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("f1") < F.col("f2")))
+    met = met.select(F.when(first_hosts, F.col("f1")).otherwise(F.col("f2")).alias("host"), F.when(first_hosts, F.col("f2")).otherwise(F.col("f1")).alias("guest"))
+    own = size.where("lo < hi").select(F.col("family").alias("host"), F.col("family").alias("guest"))
+    hosting = met.unionByName(own)
+    placed = members.join(size.select("family", "blocks", (F.col("lo") < F.col("hi")).alias("inside")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    guests = hosting.join(placed.select(F.col("family").alias("guest"), "node", F.col("block").alias("from")), "guest")
+    guests = guests.join(size.select(F.col("family").alias("host"), F.col("blocks").alias("n")), "host")
+    guests = guests.select("host", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), "guest", "from", "node").where("host <> guest or from > block")
+    loads = guests.groupBy("host", "block").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("parts"))
+    at_host = hosting.select("host").distinct().join(placed.withColumnRenamed("family", "host"), "host").join(loads, ["host", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    key = lambda part: F.concat_ws(":", F.col("host").cast("string"), F.col("block").cast("string"), part.cast("string")).alias("key")
+    host_rows = at_host.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(key(F.col("part")), F.lit(True).alias("host"), "inside", "node")
+    insides = size.select(F.col("family").alias("host"), (F.col("lo") < F.col("hi")).alias("inside"))
+    guest_rows = guests.join(loads, ["host", "block"]).join(insides, "host").select(key(F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))), F.lit(False).alias("host"), "inside", "node").distinct()
+    block_rows = written(host_rows.unionByName(guest_rows), "blocks")
+    texts = written(texts_of(block_rows.select("node"), docs), "texts")
+    more = classed(written(joined(block_rows.join(texts.hint("shuffle_merge"), "node"), n), "links"))
     final = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     root = reps.join(final, reps["rep"] == final["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
