@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +18,36 @@ BASES = ("raw", "fact", "context")
 
 @dataclass
 class Index:
-    """postings (corpus, idx, token, doc, message, user_id, pos, len), token_stats (corpus, idx, token, n) and stats (corpus, idx, n_docs, avg_len)."""
+    """postings (corpus, idx, token, doc, message, user_id, pos, len), token_stats (corpus, idx, token, n) and stats (corpus, idx, n_docs, total_len, avg_len)."""
 
     postings: DataFrame
     token_stats: DataFrame
     stats: DataFrame
 
     def save(self, path: str) -> None:
-        """Parquet by index; postings are sorted by token, so that scans for a few tokens skip row groups."""
-        self.postings.repartition("idx", "token").sortWithinPartitions("idx", "token").write.partitionBy("idx").parquet(f"{path}/postings")
-        self.token_stats.write.parquet(f"{path}/token_stats")
-        self.stats.write.parquet(f"{path}/stats")
+        """Parquet; postings are parted by index and sorted by token, so that scans for a few tokens skip row groups."""
+        self.postings.repartition("idx", "token").sortWithinPartitions("idx", "token").write.partitionBy("idx").mode("overwrite").parquet(f"{path}/postings")
+        self.token_stats.write.mode("overwrite").parquet(f"{path}/token_stats")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "token_stats", "stats")))
+    def load(spark: SparkSession, *paths: str) -> Index:
+        """One index of the saved ones, which have no document in common: counts add up."""
+        parts = [spark.read.schema(SCHEMAS["postings"]).parquet(f"{p}/postings") for p in paths]
+        postings = reduce(DataFrame.unionByName, parts)
+        token_stats = spark.read.schema(SCHEMAS["token_stats"]).parquet(*(f"{p}/token_stats" for p in paths))
+        stats = spark.read.schema(SCHEMAS["stats"]).parquet(*(f"{p}/stats" for p in paths))
+        token_stats = token_stats.groupBy("corpus", "idx", "token").agg(F.sum("n").alias("n"))
+        return Index(postings, token_stats, stats.groupBy("corpus", "idx").agg(*_sizes()))
+
+
+SCHEMAS = {
+    "postings": "corpus string, token string, doc long, message long, user_id string, pos int, len int, idx string",
+    "token_stats": "corpus string, idx string, token string, n long",
+    "stats": "corpus string, idx string, n_docs long, total_len long, avg_len double",
+}
+def _sizes() -> list:
+    return [F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"), (F.sum("total_len") / F.sum("n_docs")).alias("avg_len")]
 
 
 def documents(messages: DataFrame, contexts: DataFrame, facts: DataFrame | None) -> DataFrame:
@@ -57,6 +73,6 @@ def build(docs: DataFrame) -> Index:
     columns = ["corpus", "idx", "token", "doc", "message", "user_id", "pos", "len"]
     postings = written(plain.select(columns).unionByName(stemmed.select(columns)), "postings")
     token_stats = postings.groupBy("corpus", "idx", "token").agg(F.countDistinct("doc").alias("n"))
-    size = cut.groupBy("corpus", "idx").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    size = cut.groupBy("corpus", "idx").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").cast("long").alias("total_len"), F.avg("len").alias("avg_len"))
     both = size.unionByName(size.withColumn("idx", F.concat("idx", F.lit("_porter"))))
     return Index(postings, written(token_stats, "token-stats"), written(both, "stats"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions.porter import with_stem
 from mnemora.functions.text import casefold
 from mnemora.operators.index import BASES, Index
-from mnemora.sources.tables import bounded
+from mnemora.sources.tables import bounded, written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Reciprocal rank fusion.
@@ -39,8 +39,8 @@ def occurrences(tokens: DataFrame, postings: DataFrame, keys: list[str], on: lis
 def phrase_counts(tokens: DataFrame, index: Index) -> DataFrame:
     """(corpus, idx, phrase, n): documents of all users that hold the phrase. Single tokens' counts are stored ones."""
     named = tokens.withColumn("phrase", F.collect_list("token").over(Window.partitionBy("query_id", "family", "kind", "no", "idx").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    distinct = named.select("corpus", "idx", F.array_join("phrase", " ").alias("phrase"), "width", "off", "token").distinct()
-    one = distinct.where("width = 1").join(index.token_stats, ["corpus", "idx", "token"]).select("corpus", "idx", "phrase", "n")
+    distinct = written(named.select("corpus", "idx", F.array_join("phrase", " ").alias("phrase"), "width", "off", "token").distinct(), "phrases")
+    one = index.token_stats.join(bounded(distinct.where("width = 1")), ["corpus", "idx", "token"]).select("corpus", "idx", "phrase", "n")
     many = occurrences(distinct.where("width > 1"), index.postings, ["corpus", "idx", "phrase"], ["corpus", "idx", "token"])
     return one.unionByName(many.groupBy("corpus", "idx", "phrase").agg(F.countDistinct("doc").alias("n")))
 
@@ -50,7 +50,7 @@ def bm25(phrases: DataFrame, index: Index, channels: list[tuple[str, str]]) -> D
 
     Statistics are of all users; only then is the match kept to the query's user.
     """
-    tokens = query_tokens(phrases, channels)
+    tokens = written(query_tokens(phrases, channels), "query-tokens")
     key = ["query_id", "corpus", "family", "kind", "no", "idx"]
     found = occurrences(tokens, index.postings, key, ["corpus", "idx", "token", "user_id"])
     names = tokens.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "token"))), lambda x: x["token"]), " ").alias("phrase"))
@@ -59,7 +59,7 @@ def bm25(phrases: DataFrame, index: Index, channels: list[tuple[str, str]]) -> D
     ratio = F.log((F.col("n_docs") - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
     idf = idf.select(*key, F.when(ratio <= 0, F.lit(LEAST_IDF)).otherwise(ratio).alias("idf"), "avg_len")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(bounded(idf), key).groupBy("query_id", "family", "idx", "doc", "message")
+    scored = found.join(bounded(written(idf, "idf")), key).groupBy("query_id", "family", "idx", "doc", "message")
     scored = scored.agg(F.sum(part).alias("score"), F.bool_or(F.col("kind") == "entity").alias("e"), F.bool_or(F.col("kind") == "content").alias("c"))
     return scored.where("family = 'any' or (e and c)").drop("e", "c")
 

@@ -61,5 +61,5 @@ def baseline(queries: DataFrame, index: Index, messages: DataFrame) -> DataFrame
     q = analysed(queries).withColumn("terms", F.col("raw")).withColumn("entities", F.array().cast("array<string>"))
     q = written(q.withColumn("pool", F.col("top_k")), "queries")
     best = rank.ranked(rank.bm25(phrases(q), index, [("any", "raw")]), q)
-    own = messages.select(F.col("id").alias("message"), "content", "created_at").join(bounded(best), "message")
+    own = messages.select(F.col("id").alias("message"), "content", "created_at").join(bounded(written(best, "best")), "message")
     return own.select("query_id", F.col("rank").cast("long").alias("place"), F.concat(F.lit("mem_"), F.col("message").cast("string")).alias("id"), "content", F.bround("score", 6).alias("score"), "created_at")

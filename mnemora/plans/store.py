@@ -1,6 +1,6 @@
 """A store over a folder: add requests, search, and read what is kept.
 
-Each add writes one numbered folder with its tables and then a manifest row; readers take only
+Each add writes one numbered folder with its tables and its own index, and then a manifest row; readers take only
 folders that a manifest names, so an add is seen whole or not at all.
 """
 
@@ -63,12 +63,15 @@ class Store:
             tables["facts"] = self.spark.createDataFrame([], TABLES["facts"])
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/{batch}/{name}")
+        facts = self.spark.read.schema(TABLES["facts"]).parquet(f"{self.path}/{batch}/facts")
+        build(documents(messages, ingest.contexts(messages), facts)).save(f"{self.path}/{batch}")
         self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
         return ack
 
     def index(self) -> Index:
-        messages = self.read("messages")
-        return build(documents(messages, ingest.contexts(messages), self.read("facts")))
+        """The batches' indexes as one: their messages differ, so nothing is indexed again."""
+        paths = [f"{self.path}/{b}" for b in self._batches()]
+        return Index.load(self.spark, *paths) if paths else build(documents(self.read("messages"), ingest.contexts(self.read("messages")), None))
 
     def search(self, queries: DataFrame, index: Index | None = None) -> DataFrame:
         return search(queries, index or self.index(), self.read("messages"), self.bonus, self.model)
