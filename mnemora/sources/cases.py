@@ -42,7 +42,7 @@ def evidence_of(rows: DataFrame) -> DataFrame:
 
 #: Conversations by sessions under keys that aren't known before.
 DIALOGUE = "sample_id string, conversation string, qa array<string>"
-TURN = "array<struct<speaker:string,dia_id:string,text:string>>"
+TURN = "struct<speaker:string,dia_id:string,text:string>"
 QUESTION = "struct<question:string,evidence:array<string>,category:string>"
 
 
@@ -59,7 +59,8 @@ def turns(samples: DataFrame) -> DataFrame:
     """(sample_id, session, at, dia_id, role, content): turns by number of session; what has another shape is skipped."""
     each = samples.select("sample_id", F.explode(F.from_json("conversation", "map<string,string>")).alias("key", "value"))
     session = F.coalesce(F.nullif(F.regexp_extract("key", r"^session_(\d+)$", 1), F.lit("")).try_cast("int"), F.lit(-1))
-    each = each.select("sample_id", session.alias("session"), "key", F.posexplode(F.from_json("value", TURN)).alias("at", "t"))
+    # a list's elements stay text at first, so that one of another shape does not spoil the others
+    each = each.select("sample_id", session.alias("session"), "key", F.posexplode(F.from_json("value", "array<string>")).alias("at", "raw")).withColumn("t", F.from_json("raw", TURN))
     full = each.where("t.speaker is not null and t.dia_id is not null and t.text is not null")
     return full.select("sample_id", "session", "key", "at", F.col("t.dia_id").alias("dia_id"), F.col("t.speaker").alias("role"), F.concat_ws(": ", "t.speaker", "t.text").alias("content"))
 
