@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm.arrow import in_arrow
 from mnemora.llm.ngram_join import BROADCAST, _mixed, _power
 from mnemora.sources.tables import table, written
 
@@ -112,13 +113,23 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "h long, ctx long, doc_id long, pos long, lo long, hi long")
+    return docs.transform(in_arrow, run, "h long, ctx long, doc_id long, pos long, lo long, hi long")
 
 
-def _texts_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`wanted` (a row for each doc_id) with the texts; broadcast only if it has few rows."""
-    wanted = written(wanted, "wanted")
-    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST // 10 else wanted, "doc_id")
+def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """`docs` joined with `lists` (doc_id, at), `inner` or `left`.
+
+    Only ids are ever broadcast, and only if they are counted to be at most BROADCAST: they keep the
+    texts without a list out of the join, which deals out the others by id.
+    """
+    lists = written(lists, "lists")
+    if lists.count() > BROADCAST:
+        return docs.join(lists.hint("shuffle_merge"), "doc_id", how).select("doc_id", "text", "at")
+    ids = F.broadcast(lists.select("doc_id"))
+    mine = docs.join(ids, "doc_id", "left_semi").join(lists.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "at")
+    if how == "inner":
+        return mine
+    return mine.unionByName(docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast(lists.schema["at"].dataType).alias("at")))
 
 
 def surroundings(docs: DataFrame, kinds: DataFrame, length: int, seed: int) -> DataFrame:
@@ -140,7 +151,7 @@ def surroundings(docs: DataFrame, kinds: DataFrame, length: int, seed: int) -> D
             if rows:
                 yield _batch(rows, names)
 
-    return _texts_with(docs, wanted).select("doc_id", "text", "at").mapInArrow(run, "h long, c long, doc_id long, pos long, left binary, right binary")
+    return _with_lists(docs, wanted, "inner").transform(in_arrow, run, "h long, c long, doc_id long, pos long, left binary, right binary")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -214,7 +225,7 @@ def compared(rows: DataFrame, keep_first: bool, length: int, seed: int) -> DataF
         if held:
             yield solve(held)
 
-    return rows.repartition("h").sortWithinPartitions("h").select("h", "c", "doc_id", "pos", "left", "right").mapInArrow(run, "doc_id long, s long, e long")
+    return rows.repartition("h").sortWithinPartitions("h").select("h", "c", "doc_id", "pos", "left", "right").transform(in_arrow, run, "doc_id long, s long, e long")
 
 
 def counted(rows: DataFrame, keep_first: bool, length: int, seed: int) -> DataFrame:
@@ -236,7 +247,7 @@ def counted(rows: DataFrame, keep_first: bool, length: int, seed: int) -> DataFr
             if out:
                 yield _batch(out, ["w1", "w2", "c", "doc_id", "pos", "a"])
 
-    strings = written(rows.select("h", "c", "doc_id", "pos", "left", "right").mapInArrow(run, "w1 long, w2 long, c long, doc_id long, pos long, a long"), "strings")
+    strings = written(rows.select("h", "c", "doc_id", "pos", "left", "right").transform(in_arrow, run, "w1 long, w2 long, c long, doc_id long, pos long, a long"), "strings")
     # a string may lie around several anchors of its bucket: it counts once for each place where it starts
     strings = strings.withColumn("at", F.col("pos") - F.col("a")).dropDuplicates(["w1", "w2", "doc_id", "at"])
     many = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "at")).alias("first")).where("k > 1")
@@ -276,8 +287,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     each = spans(docs, length, keep_first, hot=hot).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("at"))
-    each = written(each, "spans")
-    all_ = docs.join(F.broadcast(each) if each.count() <= BROADCAST // 10 else each, "doc_id", "left")
+    all_ = _with_lists(docs, each, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,7 +300,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             cols = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return all_.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return all_.select("doc_id", "text", "at").transform(in_arrow, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
