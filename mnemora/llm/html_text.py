@@ -29,6 +29,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemora.llm.arrow import in_arrow
 from mnemora.sources.tables import table
 
 NOISE, CONTENT, MIXED = 0, 1, 2
@@ -399,7 +400,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             texts = [m.text(h.as_py()).encode("utf-8", "replace").decode() for h in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*(f.name for f in kept), "text", "n_chars"])
 
-    return cols.mapInArrow(run, schema)
+    return cols.transform(in_arrow, run, schema)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemora.llm.arrow import in_arrow
 from mnemora.llm.components import components
 from mnemora.sources.tables import table, without, written
 
@@ -49,7 +50,7 @@ BROADCAST = 1_000_000
 HOT = 1_000_000
 SALT = 64
 #: Documents of a family in one block, and others that are compared with it at a time.
-BLOCK, GUESTS = 1500, 3000
+BLOCK, GUESTS = 400, 800
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -132,7 +133,7 @@ def sets_and_sketch(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         k = len(blobs)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "digest", "part", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, part int, counts binary")
+    return docs.transform(in_arrow, run, "doc_id long, n int, digest binary, part int, counts binary")
 
 
 def sketch(found: DataFrame) -> np.ndarray:
@@ -145,7 +146,7 @@ def sketch(found: DataFrame) -> np.ndarray:
                 total[k] = total.get(k, 0) + np.frombuffer(c.as_py(), np.uint32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "counts"])
 
-    rows = found.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(run, "part int, counts binary").collect()
+    rows = found.where("part is not null").select("part", "counts").repartition(PARTS, "part").transform(in_arrow, run, "part int, counts binary").collect()
     out = np.zeros((PARTS, SKETCH // PARTS), np.int64)
     for r in rows:
         out[r.part] += np.frombuffer(r.counts, np.int64)
@@ -190,7 +191,7 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int = SHINGLE) -> DataFrame
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "token long, node long, n int, pos int, hot boolean")
+    return docs.transform(in_arrow, run, "token long, node long, n int, pos int, hot boolean")
 
 
 def _filters(a: str, b: str) -> F.Column:
@@ -252,7 +253,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
+    return both.select("a", "b", "x", "y").transform(in_arrow, check, "a long, b long, linked boolean")
 
 
 def overlaps(hosts: list[np.ndarray], guests: list[np.ndarray]) -> np.ndarray:
@@ -337,7 +338,7 @@ def joined(blocks: DataFrame, n: int) -> DataFrame:
             yield solve(held)
 
     dealt = blocks.repartition("key").sortWithinPartitions("key").select("key", "host", "inside", "node", "text")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.transform(in_arrow, run, "a long, b long")
 
 
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:

@@ -28,11 +28,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemora.llm.arrow import in_arrow
 from mnemora.sources.tables import table
 
 BLANK = "▁"
 #: Most entries in a worker's tables of chunks and of pairs; one is emptied when full.
-TABLE, PAIRS = 250_000, 600_000
+TABLE, PAIRS = 200_000, 300_000
 
 
 class Pieces:
@@ -221,10 +222,13 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(at)
         for b in batches:
-            ids = [m.encode(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            for a in range(0, b.num_rows, 64):  # lists of ids take many times a text's memory
+                part = b.slice(a, 64)
+                ids = [m.encode(t.as_py() or "") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        m.found.clear()  # a worker that waits for another task holds no table
 
-    return docs.select(docs[id_col].alias("doc_id"), text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
+    return docs.select(docs[id_col].alias("doc_id"), text_col).transform(in_arrow, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digested(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,8 +241,9 @@ def digested(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
             rows = [m.digests(t.as_py() or "") for t in b.column(1)]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        m.found.clear()
 
-    return docs.select(docs[id_col].alias("doc_id"), text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[id_col].alias("doc_id"), text_col).transform(in_arrow, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

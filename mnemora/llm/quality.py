@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm.arrow import in_arrow
 from mnemora.llm.toxicity import training_rows
 from mnemora.sources.tables import table
 
@@ -135,7 +136,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 part = b.slice(a, BLOCK)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.scores(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(docs[id_col].alias("doc_id"), text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(docs[id_col].alias("doc_id"), text_col).transform(in_arrow, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

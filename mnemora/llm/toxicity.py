@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm.arrow import in_arrow
 from mnemora.sources.tables import table
 
 MAX_TRAIN = 6000
@@ -73,7 +74,7 @@ class Model:
 
     def weight(self, word: bytes) -> float:
         """The word's best token weight, 0 if none weighs; remembered in a table of bounded size."""
-        if len(self.seen) > 300_000:
+        if len(self.seen) > 150_000:
             self.seen.clear()
         get = self.weights.get
         r = self.seen[word] = max(max(get(t, 0.0) for t in tokens_of(word)), 0.0)
@@ -124,33 +125,35 @@ def maximal(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[i
 
 def train(rows: list[tuple[str | None, int]]) -> Model:
     """A model from labelled texts."""
-    docs = [(words_of(t), y) for t, y in dict(rows).items()]  # a repeated text counts once
+    docs = list(dict(rows).items())  # a repeated text counts once
     n = Counter(y for _, y in docs)
     base = n[1] / max(1, len(docs))
-    count = {0: Counter(), 1: Counter()}
-    cache: dict[bytes, list[str]] = {}
-    for ws, y in docs:
-        found: set[str] = set()
-        for w in set(ws):
-            if w not in cache:
-                cache[w] = tokens_of(w)
-            found.update(cache[w])
-        count[y].update(found)
     if not n[0] or not n[1]:
         return Model({}, 1.0, 1.0, 1.0, 0.0, base)
-    size = {y: sum(c.values()) for y, c in count.items()}
+    count, size = {0: Counter(), 1: Counter()}, Counter()
+    wanted: dict[str, int] = {}
+    for y in (1, 0):  # of other documents only tokens that may weigh are counted
+        for t, own in docs:
+            if own == y:
+                found = {x for w in set(words_of(t)) for x in tokens_of(w)}
+                size[y] += len(found)
+                count[y].update(found if y else found & wanted.keys())
+        wanted = {t: a for t, a in count[1].items() if a >= max(A_LEAST, A_SHARE * n[1])}
     mass = PRIOR * (size[0] + size[1])
     weights: dict[str, tuple[float, float]] = {}
-    for t, a in count[1].items():
+    for t, a in wanted.items():
         b = count[0].get(t, 0)
         prior = PRIOR * (a + b)
         odds = math.log((a + prior) / (size[1] + mass - a - prior)) - math.log((b + prior) / (size[0] + mass - b - prior))
         z = odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))
-        if a >= max(A_LEAST, A_SHARE * n[1]) and (z >= Z_LEAST and odds >= ODDS_LEAST or z >= Z_SURE and odds >= ODDS_SURE):
+        if (z >= Z_LEAST and odds >= ODDS_LEAST or z >= Z_SURE and odds >= ODDS_SURE):
             weights[t] = (z, min(odds, 5.0))
     kept = sorted(weights, key=lambda t: (-weights[t][0], t))[:MAX_TOKENS]
     m = Model({t: weights[t][1] for t in kept}, 1.0, 1.0, 1.0, 0.0, base)
-    best = [(max((x for *_, x in m.segments(ws)), default=0.0), len(ws), y) for ws, y in docs]
+    best = []
+    for t, y in docs:
+        ws = words_of(t)
+        best.append((max((x for *_, x in m.segments(ws)), default=0.0), len(ws), y))
     # the extreme-value law's parameters, by moments of the best scores less the length's share
     clean = np.array([x - math.log(max(k, 1)) for x, k, y in best if not y and x > 0])
     if len(clean) > 20 and clean.std() > 0:
@@ -199,8 +202,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             rows = [m.score(t.as_py()) for t in b.column(1)]
             spans = [[{"s": s, "e": e, "bits": x} for s, e, x in r[1]] for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
+        m.seen.clear()
 
-    return docs.select(docs[id_col].alias("doc_id"), text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, spans array<struct<s:int,e:int,bits:double>>")
+    return docs.select(docs[id_col].alias("doc_id"), text_col).transform(in_arrow, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, spans array<struct<s:int,e:int,bits:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = REJECT) -> DataFrame:
@@ -212,8 +216,9 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = REJECT) -> DataFram
         m = shared.value
         for b in batches:
             yield b.filter(pa.array([m.score(t.as_py())[0] < least for t in b.column(at)], pa.bool_()))
+        m.seen.clear()  # a worker that waits for another task holds no table
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
