@@ -33,7 +33,7 @@ from mnemora.sources.tables import table
 
 BLANK = "▁"
 #: Most entries in a worker's tables of chunks and of pairs; one is emptied when full.
-TABLE, PAIRS = 200_000, 300_000
+TABLE, PAIRS = 250_000, 400_000
 
 
 class Pieces:
