@@ -13,6 +13,8 @@ from mnemora.functions.text import stripped
 from mnemora.sources.tables import written
 
 MESSAGE = "struct<role:string,content:string,timestamp:bigint>"
+#: More than the facts of one message: each takes 16 bytes at least in a row, which has less than 2^31.
+MOST_FACTS = 1 << 27
 REQUEST = f"request_id string, user_id string, session_id string, messages array<{MESSAGE}>, arrival long"
 
 
@@ -74,4 +76,4 @@ def facts_of(messages: DataFrame, facts: Column) -> DataFrame:
     """
     clean = F.array_distinct(F.filter(F.transform(facts, stripped), lambda x: x != ""))
     each = messages.select("id", "user_id", F.posexplode(clean).alias("at", "fact_text"))
-    return each.select((F.col("id") * 4096 + F.col("at")).alias("fact_id"), "user_id", F.col("id").alias("source_message_id"), "fact_text")
+    return each.select((F.col("id") * MOST_FACTS + F.col("at")).alias("fact_id"), "user_id", F.col("id").alias("source_message_id"), "fact_text")

@@ -1,8 +1,13 @@
 """The engine's queries over small tables against brute force."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from mnemora import queries
+from mnemora.operators import ingest
+from mnemora.operators.model import RuleModel
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -30,3 +35,25 @@ def test_every_conversation_is_a_case(spark, tables):
     assert (got.cases, got.evidence_items, got.recall_1, got.recall_3) == (11, 22, 0.5, 1.0)
     kinds = {r.category: r.questions for r in queries.category_hit_at_1(spark, sf).collect()}
     assert kinds == {k: sum(str(c % 4) == k or (c % 4 == 3 and k == "unknown") for c in range(11)) for k in ("0", "1", "2", "unknown")}
+
+
+def test_every_sentence_is_a_fact(spark, tables):
+    long = ". ".join(f"Sentence number {i} is long enough" for i in range(7))
+    said = {1: [f"{long}. Short. {long[:33]}.", "no long one. x."], 2: [long.replace("number", "numeral")]}
+    sf = tables(said)
+    want, at = [], 0
+    for c, texts in said.items():
+        for t in texts:
+            at += 1
+            want += [(at * 2**27 + k, f"user:{c}", at, x) for k, x in enumerate(dict.fromkeys(x for x in map(str.strip, re.split(r"\.", t)) if len(x) >= 20))]
+    assert len(want) == 14
+    assert sorted(map(tuple, queries.fact_ingest(spark, sf).collect())) == want
+    assert {r.idx: r.n_docs for r in queries.channel_stats(spark, sf).collect()} == {f"{i}{p}": n for i, n in (("raw", 3), ("context", 3), ("fact", 14)) for p in ("", "_porter")}
+
+
+def test_fact_ids_of_long_messages_differ(spark):
+    """More facts than once had room between two messages' ids."""
+    text = ".".join(f"{i:020d}" for i in range(5000))
+    messages = spark.createDataFrame([(1, "u", text), (2, "u", text)], "id long, user_id string, content string")
+    facts = ingest.facts_of(messages, RuleModel().extract_facts(F.col("content")))
+    assert facts.select("fact_id").distinct().count() == facts.count() == 10_000
