@@ -9,12 +9,15 @@ kept. The potentials are counted, with smoothing, on labelled pages that `labell
 seeded rules from common page layouts.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined in
-page order by one space. Nothing else is dropped or cut.
+page order by one space. Dropped is what stands between both tags of an element of RAW, or of one of
+HIDDEN, whose content is a drawing, choices, or shown only where the element can't be. Nothing else is
+dropped or cut; `/>` closes any element at once.
 
 Passes are iterative, so depth does not matter; work and memory are proportional to the page.
 
-Defined results: a null or empty page has an empty text; unclosed and stray tags are borne; a tag cut
-off by the page's end is dropped; repeated rows give a row each; other columns are ignored.
+Defined results: a null or empty page has an empty text; unclosed and stray tags are borne: an element
+of RAW or HIDDEN that no tag closes is an empty one, but a script or style goes on to the page's end; a
+tag cut off by the page's end is dropped; repeated rows give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +37,15 @@ from mnemora.sources.tables import table
 
 NOISE, CONTENT, MIXED = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select canvas audio video".split())
+CODE = frozenset("script style".split())
+RAW = CODE | {"textarea", "title"}
+HIDDEN = frozenset("noscript template iframe object svg select canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: A start tag closes an open element of these, unless a boundary stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"}}
-BOUNDS = frozenset("ul ol dl table div section article main aside nav body html td th blockquote form".split())
+BOUNDS = frozenset("ul ol dl table div section article main aside nav body html td th blockquote form".split()) | HIDDEN
 CLOSE_P = BLOCKS - frozenset("br body head html li dd dt td th tr tbody thead tfoot caption legend option title summary".split())
 _token = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|/([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)(?:>|\Z))""", re.S)
 _named = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -69,8 +74,16 @@ class Node:
 
 def parse(page: str) -> Node:
     """The page's tree; text nodes have the tag #text."""
+    root, unclosed = _parsed(page, frozenset())
+    return _parsed(page, unclosed)[0] if unclosed else root
+
+
+def _parsed(page: str, empty: frozenset[int]) -> tuple[Node, frozenset[int]]:
+    """The tree, and where the tags of HIDDEN stand that nothing closes; those at `empty` have no content."""
     root = here = Node("#root", None)
     pos, end = 0, len(page)
+    opened: dict[Node, int] = {}
+    absent: set[str] = set()
 
     def add(raw: str) -> None:
         if raw:
@@ -90,15 +103,25 @@ def parse(page: str) -> Node:
                 node = node.up
             if node is not root:
                 here = node.up
+                if shut in HIDDEN:
+                    here.kids.pop()  # the last one: it was open
+                    del opened[node]
             elif shut in ("p", "br"):
                 here.kids.append(Node("br", here))
         elif tag:
             if m[0][-1] != ">":
                 break
-            tag = tag.lower()
+            tag, attrs = tag.lower(), m[3]
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
-                pos = close.end() if close else end
+                if attrs[-1:] == "/":
+                    continue
+                close = None if tag in absent else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
+                if close:
+                    pos = close.end()
+                elif tag in CODE:
+                    break
+                else:
+                    absent.add(tag)
                 continue
             if tag in CLOSE_P or tag in CLOSES:
                 closes = CLOSES.get(tag) or {"p"}
@@ -107,15 +130,18 @@ def parse(page: str) -> Node:
                     node = node.up
                 while node is not root and node.tag in closes:
                     here, node = node.up, node.up
+            if tag in HIDDEN and (attrs[-1:] == "/" or m.start() in empty):
+                continue
             new = Node(tag, here)
-            attrs = m[3]
             if attrs and not attrs.isspace():
                 found = [_hint[w] for a in _named.findall(attrs) for w in re.split(r"[^a-z]+", "".join(a).lower()) if w in _hint]
                 new.hint = found[0] if found else ""
             here.kids.append(new)
             if tag not in VOID and attrs[-1:] != "/":
                 here = new
-    return root
+                if tag in HIDDEN:
+                    opened[new] = m.start()
+    return root, frozenset(opened.values())
 
 
 def in_order(root: Node) -> list[Node]:
