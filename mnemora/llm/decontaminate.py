@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.llm.words import BREAKS, LOWER, UPPER, spaced, words
-from mnemora.sources.tables import bounded, table, without, written
+from mnemora.sources.tables import bounded, table, text_digest, without, written
 
 WINDOW = 13
 #: Most windows in one broadcast: about 300 bytes each.
@@ -95,7 +95,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """`docs` without contaminated rows; same columns."""
-    return without(docs, contamination(docs, items, id_col, text_col, **kw).where("contaminated").select("doc_id"), id_col)
+    digest = text_digest(docs[text_col])
+    rows = docs.select(F.struct(docs[id_col].alias("id"), digest.alias("digest")).alias("key"), docs[text_col].alias("text"))
+    gone = contamination(rows, items, "key", "text", **kw).where("contaminated")
+    return without(docs, gone.select("doc_id.id", "doc_id.digest"), id_col, digest)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """`docs` without the rows whose text another row with a larger id has; same columns."""
-    return without(docs, exact_groups(docs, id_col, text_col, support).where("not kept").select("doc_id"), id_col)
+    gone = exact_groups(docs, id_col, text_col, support).where("not kept").select("doc_id", F.unhex("text_sha256"))
+    return without(docs, gone, id_col, F.unhex(F.sha2(ascii_lower(docs[text_col]), 256)))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

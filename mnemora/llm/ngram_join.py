@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.arrow import in_arrow
 from mnemora.llm.components import components
-from mnemora.sources.tables import table, without, written
+from mnemora.sources.tables import table, text_digest, without, written
 
 SHINGLE = 5
 #: The threshold as a fraction.
@@ -111,7 +111,11 @@ def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def sets_and_sketch(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """Per row doc_id, n, digest (part null), and per task PARTS rows with part and counts."""
+    """Per row doc_id, n, digest (part null), and per task PARTS rows with part and counts.
+
+    A third column of `docs`, text_digest, is passed on.
+    """
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(SKETCH, np.int64), [], 0
@@ -126,14 +130,14 @@ def sets_and_sketch(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 if size > 1 << 20:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], ["doc_id", "n", "digest", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), *b.columns[2:]], ["doc_id", "n", "digest", "part", "counts", *more])
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
         blobs = [x.astype(np.uint32).tobytes() for x in np.split(counts, PARTS)] if counts.any() else []
         k = len(blobs)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "digest", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.binary()) for _ in more]], ["doc_id", "n", "digest", "part", "counts", *more])
 
-    return docs.transform(in_arrow, run, "doc_id long, n int, digest binary, part int, counts binary")
+    return docs.transform(in_arrow, run, "doc_id long, n int, digest binary, part int, counts binary" + "".join(f", {c} binary" for c in more))
 
 
 def sketch(found: DataFrame) -> np.ndarray:
@@ -341,12 +345,13 @@ def joined(blocks: DataFrame, n: int) -> DataFrame:
     return dealt.transform(in_arrow, run, "a long, b long")
 
 
-def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, n_shingles and component_id."""
+def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles and component_id; with `digests` also text_digest."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(sets_and_sketch(docs, n), "sets")
+    more = [text_digest(F.col("text")).alias("text_digest")] if digests else []
+    found = written(sets_and_sketch(docs.select("doc_id", "text", *more), n), "sets")
     counts = sketch(found)
-    rows = found.where("part is null").select("doc_id", "n", "digest")
+    rows = found.where("part is null").drop("part", "counts")
     reps = written(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
 
     # rows that aren't their class's first needn't be compared; more than can be broadcast are borne
@@ -432,12 +437,13 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     final = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     root = reps.join(final, reps["rep"] == final["node"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    return rows.join(root, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    return rows.join(root, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), *(["text_digest"] if digests else []))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """`docs` without the rows whose group holds a smaller id; same columns."""
-    return without(docs, linked_groups(docs, id_col, text_col, n).where("component_id < doc_id").select("doc_id"), id_col)
+    gone = linked_groups(docs, id_col, text_col, n, True).where("component_id < doc_id")
+    return without(docs, gone.select("doc_id", "text_digest"), id_col, text_digest(docs[text_col]))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

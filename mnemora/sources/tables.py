@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -46,8 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Most ids that are broadcast: some 8 bytes each. Beyond it a join is an ordinary one.
-BROADCAST_IDS = 2_000_000
+#: Most ids with digests that are broadcast: some 100 bytes each. Beyond it a join is an ordinary one.
+BROADCAST_IDS = 500_000
 
 
 def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -55,14 +55,20 @@ def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """`df` without the rows whose `key` is in the one column of `ids` (null equals null).
+def text_digest(text: Column) -> Column:
+    """The SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
-    The ids are counted first: up to BROADCAST_IDS are broadcast, so that `df` needn't be shuffled.
+
+def without(df: DataFrame, ids: DataFrame, key: str, digest: Column) -> DataFrame:
+    """`df` without the rows whose `key` and `digest` are a row of `ids` (null equals null).
+
+    Neither null nor repeated ids drop rows of other texts. The rows of `ids` are counted first: up to
+    BROADCAST_IDS are broadcast, so that `df` needn't be shuffled.
     """
-    ids = written(ids.toDF("_id").distinct(), "ids")
+    ids = written(ids.toDF("_id", "_digest").distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return df.join(ids, df[key].eqNullSafe(ids["_id"]), "left_anti")
+    return df.join(ids, df[key].eqNullSafe(ids["_id"]) & digest.eqNullSafe(ids["_digest"]), "left_anti")
 
 
 def release() -> None:
