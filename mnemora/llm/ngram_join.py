@@ -1,11 +1,13 @@
 """N-gram Jaccard self-join: rare-first prefix filtering, exact verification, linked groups.
 
 A document is the set of its distinct n-word shingles (hashed to 64 bits). Documents with the same
-set form a class, found by digest. A count sketch of fixed size over all documents' shingles gives
-the global order: rare buckets first, then by hash. If two sets' similarity reaches the threshold,
-their first n - ceil(t n) + 1 shingles in this order share one, so only these prefixes are compared.
-Shingles that stand in one prefix only are dropped. Candidates pass the length filter and the positional
-filter, a bound on how many shingles both prefixes must hold, then the suffix filter, and each pair left is verified once on the whole sets.
+set form a class, found by digest. A count sketch over all documents' shingles, whose size grows with
+the number of documents, gives the global order: rare buckets first, by quarters of a power of two,
+then by hash. If two sets' similarity reaches the threshold, their first n - ceil(t n) + 1 shingles in
+this order share one, so only these prefixes are compared. Shingles that stand in one prefix only are
+dropped, by exact counts of the prefixes' lists. Candidates pass the length filter and the positional
+filter, a bound on how many shingles both prefixes must hold, then the suffix filter, and each pair
+left is verified on the whole sets.
 
 A large group of near copies would make all its pairs candidates, and many of them links. Only the
 groups that links join are asked for, so pairs are never made as rows. First each document is
@@ -14,11 +16,13 @@ that are linked give groups; pairs of similarity 1/2 or more give families, whic
 near copies, linked or not. Then only families that hold different groups, or that share a prefix
 shingle with another group's family, are looked at again: a family's documents are brought
 together in blocks of at most BLOCK, with at most GUESTS of others at a time, and the exact overlaps of all
-pairs in a block are had from one matrix product. A block gives a spanning tree of its links.
+pairs in a block that pass the length filter are had from one matrix product; a pair of different
+families stands in one block only. A block gives a spanning tree of its links.
 No partner, candidate or row is capped, and no link that joins groups is lost.
 
 Joins split skewed keys at run time; counts and minima combine on the map side; intermediate tables
-are written to the shared folder. The sketch (1 MB) is all that the driver ever holds.
+are written to the shared folder. The sketch's ranks, a byte for each counter and 16 MB at most, are all
+that the driver ever holds.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; shorter
 texts than n words are one shingle; rows that repeat an id and a text share one result; an id with
@@ -42,11 +46,12 @@ from mnemora.sources.tables import table, text_digest, without, written
 SHINGLE = 5
 #: The threshold as a fraction.
 NUM, DEN = 3, 4
-SKETCH = 1 << 18
+#: Counters of the sketch: 2 to the power of bits_for(documents), between these.
+LEAST_BITS, MOST_BITS = 18, 24
 PARTS = 16
 #: Most rows in what is broadcast of ids: 8 or 16 bytes each; beyond it the join is an ordinary one.
 BROADCAST = 1_000_000
-#: From this count of its bucket on, a shingle's list is never brought to one task.
+#: From this count of its bucket on, a shingle's list may be long, and is never brought to one task.
 HOT = 1_000_000
 SALT = 64
 #: Documents of a family in one block, and others that are compared with it at a time.
@@ -55,7 +60,6 @@ BLOCK, GUESTS = 400, 800
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-_TOP = np.uint64((1 << 24) - 1)
 _blank = np.zeros(256, bool)
 _blank[[32, *range(9, 14)]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -110,59 +114,76 @@ def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
-def sets_and_sketch(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+def bits_for(documents: int) -> int:
+    """The power of two of the sketch's counters: some sixteen for each document."""
+    return min(MOST_BITS, max(LEAST_BITS, documents.bit_length() + 4))
+
+
+def sets_and_sketch(docs: DataFrame, n: int = SHINGLE, bits: int = LEAST_BITS) -> DataFrame:
     """Per row doc_id, n, digest (part null), and per task PARTS rows with part and counts.
 
-    A third column of `docs`, text_digest, is passed on.
+    Counts are pairs of a counter's place in its part and its count. A third column of `docs`,
+    text_digest, is passed on.
     """
-    more = docs.columns[2:]
+    more, width = docs.columns[2:], 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(SKETCH, np.int64), [], 0
+        counts, held, size = np.zeros(width, np.uint32), [], 0
+
+        def add() -> None:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            counts[at.astype(np.int64)] += times.astype(np.uint32)
+            held.clear()
+
         for b in batches:
             ids, sizes, digests = b.column(0).to_pylist(), [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), n)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                held.append(s & np.uint64(SKETCH - 1))
+                held.append((s & np.uint64(width - 1)).astype(np.uint32))
                 size += len(s)
                 if size > 1 << 20:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
-                    held, size = [], 0
+                    add()
+                    size = 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), *b.columns[2:]], ["doc_id", "n", "digest", "part", "counts", *more])
         if held:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=SKETCH)
-        blobs = [x.astype(np.uint32).tobytes() for x in np.split(counts, PARTS)] if counts.any() else []
+            add()
+        some = [np.flatnonzero(x) for x in np.split(counts, PARTS)] if counts.any() else []
+        blobs = [np.concatenate((at.astype(np.uint32), x[at])).tobytes() for at, x in zip(some, np.split(counts, PARTS))]
         k = len(blobs)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.binary()) for _ in more]], ["doc_id", "n", "digest", "part", "counts", *more])
 
     return docs.transform(in_arrow, run, "doc_id long, n int, digest binary, part int, counts binary" + "".join(f", {c} binary" for c in more))
 
 
-def sketch(found: DataFrame) -> np.ndarray:
-    """The tasks' counts summed, part by part; SKETCH numbers whatever the input."""
+def sketch(found: DataFrame, bits: int = LEAST_BITS) -> np.ndarray:
+    """The rank of each counter: four times the binary logarithm of the tasks' counts together, in a byte."""
+    width = (1 << bits) // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1)):
-                total[k] = total.get(k, 0) + np.frombuffer(c.as_py(), np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "counts"])
+                at, times = np.frombuffer(c.as_py(), np.uint32).reshape(2, -1)
+                total.setdefault(k, np.zeros(width, np.int64))[at] += times
+        ranks = [np.rint(4 * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(ranks, pa.binary())], ["part", "ranks"])
 
-    rows = found.where("part is not null").select("part", "counts").repartition(PARTS, "part").transform(in_arrow, run, "part int, counts binary").collect()
-    out = np.zeros((PARTS, SKETCH // PARTS), np.int64)
+    rows = found.where("part is not null").select("part", "counts").repartition(PARTS, "part").transform(in_arrow, run, "part int, ranks binary").collect()
+    out = np.zeros((PARTS, width), np.uint8)
     for r in rows:
-        out[r.part] += np.frombuffer(r.counts, np.int64)
+        out[r.part] = np.frombuffer(r.ranks, np.uint8)
     return out.reshape(-1)
 
 
-def postings(docs: DataFrame, counts: np.ndarray, n: int = SHINGLE) -> DataFrame:
+def postings(docs: DataFrame, ranks: np.ndarray, n: int = SHINGLE) -> DataFrame:
     """(token, node, n, pos, hot) of every prefix shingle; within a task only the first of equal sets is a node.
 
-    A shingle is hot if its bucket's count is at least HOT; others stand in fewer sets than that.
+    A shingle is hot if its bucket's count may be HOT or more; others stand in fewer sets than that.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    hot, last = int(4 * np.log2(HOT)), np.uint64(len(ranks) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, done = shared.value, set()
@@ -184,10 +205,9 @@ def postings(docs: DataFrame, counts: np.ndarray, n: int = SHINGLE) -> DataFrame
                     continue
                 done.add(key)
                 p = prefix_size(len(s))
-                rank = order[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                # s is sorted and the sort is stable, so equal keys stay in the order of the hashes
-                first = np.argsort(np.minimum(rank, _TOP) << np.uint64(40) | s >> np.uint64(24), kind="stable")[:p]
-                held.append([s[first], np.full(p, i, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), rank[first] >= HOT])
+                rank = order[(s & last).astype(np.int64)]
+                first = np.argsort(rank, kind="stable")[:p]  # s is sorted, so equal ranks stay in the order of the hashes
+                held.append([s[first], np.full(p, i, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), rank[first] >= hot])
                 size += p
                 if size > 100_000:
                     yield out()
@@ -304,8 +324,13 @@ def spanning(hosts: list[np.ndarray], guests: list[np.ndarray], inside: bool) ->
         return label
     others = everyone if inside else guests
     size = lambda sets: np.array([len(x) for x in sets], np.int64)
-    same = overlaps(hosts, others)
-    linked = DEN * same >= NUM * (size(others)[:, None] + size(hosts)[None, :] - same)
+    sh, so = size(hosts), size(others)
+    may = DEN * np.minimum(so[:, None], sh[None, :]) >= NUM * np.maximum(so[:, None], sh[None, :])  # the length filter
+    linked = np.zeros(may.shape, bool)
+    y, x = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if len(y) and len(x):
+        same = overlaps([hosts[i] for i in x], [others[i] for i in y])
+        linked[np.ix_(y, x)] = DEN * same >= NUM * (so[y][:, None] + sh[x][None, :] - same)
     start = 0 if inside else len(hosts)
     big = len(everyone)
     while True:
@@ -349,8 +374,9 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, n_shingles and component_id; with `digests` also text_digest."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     more = [text_digest(F.col("text")).alias("text_digest")] if digests else []
-    found = written(sets_and_sketch(docs.select("doc_id", "text", *more), n), "sets")
-    counts = sketch(found)
+    bits = bits_for(docs.count())
+    found = written(sets_and_sketch(docs.select("doc_id", "text", *more), n, bits), "sets")
+    ranks = sketch(found, bits)
     rows = found.where("part is null").drop("part", "counts")
     reps = written(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
 
@@ -358,18 +384,20 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     others = written(rows.join(reps, "digest").where("doc_id <> rep").select("doc_id").distinct(), "others")
     first = docs.join(F.broadcast(others), "doc_id", "left_anti") if others.count() <= BROADCAST else docs
 
-    # lists of at most HOT nodes are counted and given a pivot for each length band in their own sort;
-    # the lists of hot shingles are dealt out by a salt, and kept uncounted
+    # lists of less than HOT nodes are counted and given a pivot for each length band in their own sort;
+    # those that may be longer are dealt out by a salt, and counted by an aggregation
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
     salt = F.when(F.col("hot"), 1 + F.pmod(F.col("node"), F.lit(SALT))).otherwise(F.lit(0)).cast("int")
     list_ = Window.partitionBy("token", "salt")
-    raw = postings(first, counts, n).withColumn("salt", salt).withColumn("k", F.count(F.lit(1)).over(list_)).where("k > 1 or hot").drop("k")
+    raw = postings(first, ranks, n).withColumn("salt", salt).withColumn("k", F.count(F.lit(1)).over(list_)).where("k > 1 or hot").drop("k")
     banded = raw.withColumn("band", band).withColumn("p", F.min(F.struct("node", "n", "pos")).over(Window.partitionBy("token", "salt", "band")))
     lists = written(banded.select("token", "hot", "band", F.struct("node", "n", "pos").alias("q"), "p"), "lists")
 
     # a star in each list and length band; hot lists' pivots are combined on the map side
     near = lists.where("not hot").select("q", "p")
     if lists.where("hot").limit(1).count():
+        several = lists.where("hot").groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+        lists = written(lists.where("not hot").unionByName(lists.where("hot").join(several, "token").select(lists.columns)), "lists")
         pivots = lists.where("hot").groupBy("token", "band").agg(F.min("q").alias("p"))
         near = near.unionByName(lists.where("hot").select("token", "band", "q").join(pivots, ["token", "band"]).select("q", "p"))
     near = near.where((F.col("p.node") != F.col("q.node")) & _filters("p", "q"))
@@ -420,17 +448,18 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first_hosts = (F.col("s1") > F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("f1") < F.col("f2")))
     met = met.select(F.when(first_hosts, F.col("f1")).otherwise(F.col("f2")).alias("host"), F.when(first_hosts, F.col("f2")).otherwise(F.col("f1")).alias("guest"))
     own = size.where("lo < hi").select(F.col("family").alias("host"), F.col("family").alias("guest"))
-    hosting = met.unionByName(own)
-    placed = members.join(size.select("family", "blocks", (F.col("lo") < F.col("hi")).alias("inside")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    guests = hosting.join(placed.select(F.col("family").alias("guest"), "node", F.col("block").alias("from")), "guest")
-    guests = guests.join(size.select(F.col("family").alias("host"), F.col("blocks").alias("n")), "host")
-    guests = guests.select("host", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), "guest", "from", "node").where("host <> guest or from > block")
-    loads = guests.groupBy("host", "block").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("parts"))
-    at_host = hosting.select("host").distinct().join(placed.withColumnRenamed("family", "host"), "host").join(loads, ["host", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    key = lambda part: F.concat_ws(":", F.col("host").cast("string"), F.col("block").cast("string"), part.cast("string")).alias("key")
-    host_rows = at_host.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(key(F.col("part")), F.lit(True).alias("host"), "inside", "node")
-    insides = size.select(F.col("family").alias("host"), (F.col("lo") < F.col("hi")).alias("inside"))
-    guest_rows = guests.join(loads, ["host", "block"]).join(insides, "host").select(key(F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))), F.lit(False).alias("host"), "inside", "node").distinct()
+    # how many parts a host block's guests make follows from the families' sizes, so no count of rows is needed
+    hosting = met.unionByName(own).join(size.select(F.col("family").alias("guest"), F.col("size").alias("n")), "guest")
+    loads = hosting.groupBy("host").agg(F.ceil(F.sum("n") / GUESTS).cast("int").alias("parts"))
+    hosts = loads.join(size.select(F.col("family").alias("host"), "blocks", (F.col("lo") < F.col("hi")).alias("inside")), "host")
+    hosting = written(hosting.select("host", "guest").join(hosts, "host"), "hosting")
+    placed = members.join(size.select("family", F.col("blocks").alias("own_blocks")), "family").select("family", "node", F.pmod(F.xxhash64("node"), F.col("own_blocks")).cast("int").alias("own_block"))
+    key = lambda block, part: F.concat_ws(":", F.col("host").cast("string"), block.cast("string"), part.cast("string")).alias("key")
+    guests = hosting.join(placed.withColumnRenamed("family", "guest"), "guest")
+    guests = guests.select("host", "guest", "inside", "parts", "own_block", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("host <> guest or own_block > block")
+    guest_rows = guests.select(key(F.col("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))), F.lit(False).alias("host"), "inside", "node")
+    at_host = hosting.select("host", "inside", "parts").distinct().join(placed.withColumnRenamed("family", "host"), "host")
+    host_rows = at_host.select("host", "inside", "node", "own_block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(key(F.col("own_block"), F.col("part")), F.lit(True).alias("host"), "inside", "node")
     block_rows = written(host_rows.unionByName(guest_rows), "blocks")
     texts = written(texts_of(block_rows.select("node"), docs), "texts")
     more = classed(written(joined(block_rows.join(texts.hint("shuffle_merge"), "node"), n), "links"))

@@ -76,11 +76,29 @@ def test_spanning_and_overlaps():
     assert (ngram_join.overlaps(sets[:10], sets) == want).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [components.ONE_TASK, 0], ids=["one task", "stars"])
+def test_components(spark, one_task):
     edges = [(i, i + 1) for i in range(1, 90)] + [(500, i) for i in range(501, 560)] + [(7, 7), (900, 899)]
-    got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    got = dict(components.components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect())
     assert got == {i: 1 for i in range(1, 91)} | {i: 500 for i in range(500, 560)} | {899: 899, 900: 899}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
+
+
+def test_roots_in_one_task():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = rng.integers(0, 40, (2, int(rng.integers(1, 60))))
+        want = {int(x): int(x) for x in np.concatenate((a, b))}
+        for _ in range(40):
+            for x, y in zip(a.tolist(), b.tolist()):
+                want[x] = want[y] = min(want[x], want[y])
+        nodes, root = components.roots(a, b)
+        assert dict(zip(nodes.tolist(), root.tolist())) == want
+
+
+def test_the_order_of_the_sketch():
+    """Rarer buckets come first; the sketch's size follows the number of documents within bounds."""
+    assert [ngram_join.bits_for(n) for n in (0, 1000, 300_000, 10**10)] == [18, 18, 23, 24]
 
 
 def brute_spans(texts, length, keep_first=False):
