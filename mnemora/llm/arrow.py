@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -17,3 +19,16 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     if conf.get(_SIZE, None) is None:
         conf.set(_SIZE, BYTES)
     return df.mapInArrow(run, schema)
+
+
+def learnt(rows: DataFrame, train: Callable):
+    """What `train` makes of the rows, a list of tuples: it runs in one task, and only the model comes to the driver.
+
+    For samples that a parameter bounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(held))], pa.binary())], ["model"])
+
+    return pickle.loads(rows.repartition(1).transform(in_arrow, run, "model binary").first().model)

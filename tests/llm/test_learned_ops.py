@@ -112,13 +112,47 @@ def test_quality_votes_are_exact():
     rows = [(t, q) for _, t, q, _ in labelled(random.Random(9), 200)]
     m = quality.train(rows[:150])
     for t, _ in rows[150:]:
-        sims = m.project(m.row(t)[None])[0] @ m.vectors.T
-        near = np.argsort(-sims, kind="stable")[: quality.K]
+        sims = m.vector(quality.terms(t)) @ m.vectors.T
+        near = np.flatnonzero(sims >= np.sort(sims)[-quality.K])
         w = np.maximum(sims[near], 0).astype(float) ** quality.POWER
         assert m.scores([t])[0] == pytest.approx((w * m.labels[near]).sum() / w.sum(), abs=1e-5)
     assert quality.train([]).scores(["a", None]).tolist() == [0.5, 0.5]
 
 
+def test_quality_vectors_are_lexical():
+    """Texts of other words have other vectors; the axes are the sample's leading singular vectors."""
+    rows = [(t, q) for _, t, q, _ in labelled(random.Random(9), 90)]
+    m = quality.train(rows)
+    a, b = (m.vector(quality.terms(t)) for t in ("bani tela boru", "cilo tela boru"))
+    assert abs(a - b).max() > 1e-3
+    x = np.zeros((90, 1 << quality.BITS))
+    for i, t in enumerate(sorted(t for t, _ in rows)):
+        cols, vals = quality.terms(t)
+        x[i, cols] = vals * m.idf[cols]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.linalg.svd(x, compute_uv=False)
+    assert np.linalg.norm(x @ m.axes) ** 2 > 0.99 * (best[: quality.RANK] ** 2).sum()
+
+
+def test_quality_ties():
+    """Labels that clash count as 1; the order of rows says nothing; equally near neighbours all vote."""
+    rows = [("one two three", 0), ("one two three", 1), ("four five six", 0), ("seven eight", 1)]
+    assert quality.train(rows).labels.tolist() == quality.train(rows[::-1]).labels.tolist() == [0.0, 1.0, 1.0]
+    same = [(f"one two {c}", i % 2) for i, c in enumerate("abcdefgh")]
+    m = quality.train(same)
+    m.vectors[:] = m.vectors[0]
+    assert m.scores(["one two x"])[0] == pytest.approx(0.5)
+
+
+def test_training_rows(spark):
+    """An id's and a text's largest label counts, each text comes once, and held-out ids never do."""
+    rows = spark.createDataFrame([(1, "a", 5, 0), (2, "a", 5, 0), (2, "b", 5, 0), (3, "c", 5, 0), (None, "d", 5, 0)], "doc_id long, text string, y int, label int")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, None), (None, 1), (8, 1)], "doc_id long, toxic int")
+    got = toxicity.training_rows(rows, labels, "toxic", 10**9, -1, 10)
+    assert sorted(map(tuple, got.collect())) == [("a", 1), ("b", 1)]
+    assert toxicity.training_rows(rows, labels, "toxic", 1, 0, 10).count() == 0
+
+
 def test_toxicity(spark, tables):
     at, rows = tables
     got = {r.doc_id: r for r in toxicity.op9_toxicity(spark, at).collect()}
@@ -132,16 +166,63 @@ def test_toxicity(spark, tables):
 def test_maximal_segments():
     """The scan gives all maximal-scoring segments, as the definition does."""
     rng = random.Random(3)
-    for _ in range(60):
-        x = [rng.choice([-1.0, -1.0, -1.0, 2.0, 3.5]) for _ in range(14)]
+    for n in [14] * 80 + [0, 1, 2]:
+        x = [rng.choice([-1.0, -0.3, -1.5, 2.0, 3.5, 0.7]) for _ in range(n)]
 
         def split(a, b):
-            best = max(((sum(x[i:j]), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            best = max(((round(sum(x[i:j]), 9), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
             return [] if best[0] <= 0 else split(a, best[2]) + [(best[2], best[3], best[0])] + split(best[3], b)
 
-        got = toxicity.maximal([(i, v) for i, v in enumerate(x) if v > 0], 1.0)
-        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in split(0, 14)))
-        assert max(got, key=lambda g: g[2])[2] == pytest.approx(max((s for *_, s in split(0, 14)), default=0)) if got else True
+        got = toxicity.maximal(np.array(x))
+        want = split(0, n)
+        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want))
+        assert max((s for *_, s in got), default=0) == pytest.approx(max((s for *_, s in want), default=0))
+        assert [e > s and v == pytest.approx(sum(x[s:e])) for s, e, v in got] == [True] * len(got)
+    assert len(toxicity.maximal(np.tile([1.0, -2.0], 50_000))) == 50_000  # linear, not quadratic
+
+
+def test_log_odds_and_calibration():
+    """Weights, parameters and scores against a plain computation over a small sample."""
+    rng = random.Random(5)
+    rows = [(" ".join([*rng.choices(["bad", "vile"], k=y * 3 + (not y and i % 3 == 0)), *rng.choices(["tea", "milk", "sun", "rain", "go"], k=6), f"w{i}"]), y) for i, y in enumerate([0, 0, 0, 1] * 30)]
+    m = toxicity.train(rows)
+    words = {y: [set(t.split()) for t, own in rows if own == y] for y in (0, 1)}
+    every = set().union(*words[0], *words[1])
+    count = {w: [sum(w in d for d in words[y]) for y in (0, 1)] for w in every}
+    size, share = [sum(c[y] for c in count.values()) for y in (0, 1)], toxicity.PRIOR
+    for w in every:  # no word here has 5 letters, so words are all tokens
+        b, a = count[w]
+        p, mass = share * (a + b), share * sum(size)
+        odds = np.log((a + p) / (size[1] + mass - a - p)) - np.log((b + p) / (size[0] + mass - b - p))
+        z = abs(odds) / np.sqrt(1 / (a + p) + 1 / (b + p))
+        want = odds / (1 + (toxicity.Z_HALF / z) ** toxicity.SHARP) - toxicity.DRIFT
+        assert m.of_words([w.encode()])[0] == pytest.approx(want, abs=1e-9)
+    assert m.of_words([b"bad"])[0] > 0.5 and any(m.of_words([w.encode()])[0] < -toxicity.DRIFT for w in every)
+    assert m.of_words([b"unknown"])[0] == -toxicity.DRIFT
+    best = {t: max((x for *_, x in toxicity.maximal(m.of_words(toxicity.words_of(t)))), default=0.0) for t, _ in rows}
+    clean = np.array([best[t] - np.log(len(t.split())) for t, y in rows if not y and best[t] > 0])
+    assert m.lam == pytest.approx(min(2.0, np.pi / (clean.std() * 6**0.5)))
+    score = {t: m.score(t)[0] for t, _ in rows}
+    assert np.mean([score[t] for t, y in rows if y]) > 2 * np.mean([score[t] for t, y in rows if not y])
+    text = "tea milk bad vile bad sun"
+    bits = (m.lam * max(x for *_, x in toxicity.maximal(m.of_words(toxicity.words_of(text)))) - np.log(m.k * 6)) / np.log(2)
+    assert m.score(text)[0] == pytest.approx(1 / (1 + np.exp(-(m.slope * bits + m.shift))))
+    assert toxicity.train([("x bad", 0), ("x bad", 1), ("tea", 0)]).base == 0.5  # a text with both labels is toxic
+
+
+def test_clashing_columns_repeats_and_empty_tables(spark, tables):
+    """Columns named as inner ones are, repeated rows, and no rows, for the learnt operators and the encoder."""
+    at, _ = tables
+    now, labels = spark.read.parquet(f"{at}/documents.parquet").limit(60), spark.read.parquet(f"{at}/labels.parquet")
+    odd = now.union(now).selectExpr("*", "1 as y", "2 as label", "3 as score", "4 as at", "5 as ids", "6 as decoded", "7 as spans", "8 as part")
+    for op, sizes in ((quality, 1), (toxicity, 1)):
+        model = op.fitted(odd, labels)
+        got = op.scored(odd, model).collect()
+        assert len(got) == 120 and len({(r.doc_id, r.score) for r in got}) == 60
+        empty = op.fitted(odd.limit(0), labels)
+        assert op.scored(odd.limit(0), empty).count() == 0 and len({r.score for r in op.scored(now, empty).collect()}) == 1
+    assert toxicity.drop_toxic(odd, toxicity.fitted(odd, labels)).columns == odd.columns
+    assert pieces.digested(odd).distinct().count() == 60 and pieces.encoded(odd).count() == 120
 
 
 def test_pieces(spark):
