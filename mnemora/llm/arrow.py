@@ -31,4 +31,5 @@ def learnt(rows: DataFrame, train: Callable):
         held = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(held))], pa.binary())], ["model"])
 
-    return pickle.loads(rows.repartition(1).transform(in_arrow, run, "model binary").first().model)
+    made = rows.repartition(1).transform(in_arrow, run, "model binary").first()
+    return pickle.loads(made.model) if made else train([])  # without a row there may be no task
