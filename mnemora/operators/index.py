@@ -25,8 +25,8 @@ class Index:
     stats: DataFrame
 
     def save(self, path: str) -> None:
-        """Parquet; postings are parted by index and sorted by token, so that scans for a few tokens skip row groups."""
-        self.postings.repartition("idx", "token").sortWithinPartitions("idx", "token").write.partitionBy("idx").mode("overwrite").parquet(f"{path}/postings")
+        """Parquet; postings are parted by index, and each file is sorted by token, so that scans for a few tokens skip row groups."""
+        self.postings.sortWithinPartitions("idx", "token").write.partitionBy("idx").mode("overwrite").parquet(f"{path}/postings")
         self.token_stats.write.mode("overwrite").parquet(f"{path}/token_stats")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -71,7 +71,7 @@ def build(docs: DataFrame) -> Index:
     stems = written(with_stem(plain.select("token").distinct(), "token"), "stems")
     stemmed = plain.join(stems, "token").withColumn("idx", F.concat("idx", F.lit("_porter"))).withColumn("token", F.col("stem")).drop("stem")
     columns = ["corpus", "idx", "token", "doc", "message", "user_id", "pos", "len"]
-    postings = written(plain.select(columns).unionByName(stemmed.select(columns)), "postings")
+    postings = written(plain.select(columns).unionByName(stemmed.select(columns)).sortWithinPartitions("idx", "token"), "postings")
     token_stats = postings.groupBy("corpus", "idx", "token").agg(F.countDistinct("doc").alias("n"))
     size = cut.groupBy("corpus", "idx").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").cast("long").alias("total_len"), F.avg("len").alias("avg_len"))
     both = size.unionByName(size.withColumn("idx", F.concat("idx", F.lit("_porter"))))

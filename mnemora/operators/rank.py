@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from mnemora.functions.porter import with_stem
 from mnemora.functions.text import casefold
 from mnemora.operators.index import BASES, Index
-from mnemora.sources.tables import bounded, written
+from mnemora.sources.tables import held
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Most tokens that a scan's filter names.
+MOST_NAMES = 2000
 #: Reciprocal rank fusion.
 RRF = 60
 #: (family, index): weight of a channel. Channels of weight 0 only add candidates.
@@ -30,18 +32,26 @@ def query_tokens(phrases: DataFrame, channels: list[tuple[str, str]]) -> DataFra
 
 def occurrences(tokens: DataFrame, postings: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
     """Per phrase (keys) and document: how often the phrase's tokens stand one after the other (tf)."""
-    found = postings.join(bounded(tokens), on).withColumn("start", F.col("pos") - F.col("off"))
+    found = postings.join(tokens, on).withColumn("start", F.col("pos") - F.col("off"))
     doc = [*keys, "doc", "message", "len"]
     whole = found.groupBy(*doc, "width", "start").agg(F.countDistinct("off").alias("k")).where("k = width")
     return whole.groupBy(*doc).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def phrase_counts(tokens: DataFrame, index: Index) -> DataFrame:
+def wanted(index: Index, tokens: DataFrame) -> DataFrame:
+    """The postings of some tokens; up to MOST_NAMES are pushed to the scan, which skips row groups without them."""
+    names = [r.token for r in tokens.select("token").distinct().limit(MOST_NAMES + 1).collect()]
+    return index.postings if len(names) > MOST_NAMES else index.postings.where(F.col("token").isin(names))
+
+
+def phrase_counts(tokens: DataFrame, index: Index, postings: DataFrame) -> DataFrame:
     """(corpus, idx, phrase, n): documents of all users that hold the phrase. Single tokens' counts are stored ones."""
     named = tokens.withColumn("phrase", F.collect_list("token").over(Window.partitionBy("query_id", "family", "kind", "no", "idx").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    distinct = written(named.select("corpus", "idx", F.array_join("phrase", " ").alias("phrase"), "width", "off", "token").distinct(), "phrases")
-    one = index.token_stats.join(bounded(distinct.where("width = 1")), ["corpus", "idx", "token"]).select("corpus", "idx", "phrase", "n")
-    many = occurrences(distinct.where("width > 1"), index.postings, ["corpus", "idx", "phrase"], ["corpus", "idx", "token"])
+    distinct = held(named.select("corpus", "idx", F.array_join("phrase", " ").alias("phrase"), "width", "off", "token").distinct())
+    one = index.token_stats.join(distinct.where("width = 1"), ["corpus", "idx", "token"]).select("corpus", "idx", "phrase", "n")
+    if distinct.where("width > 1").isEmpty():
+        return one
+    many = occurrences(distinct.where("width > 1"), postings, ["corpus", "idx", "phrase"], ["corpus", "idx", "token"])
     return one.unionByName(many.groupBy("corpus", "idx", "phrase").agg(F.countDistinct("doc").alias("n")))
 
 
@@ -50,16 +60,17 @@ def bm25(phrases: DataFrame, index: Index, channels: list[tuple[str, str]]) -> D
 
     Statistics are of all users; only then is the match kept to the query's user.
     """
-    tokens = written(query_tokens(phrases, channels), "query-tokens")
+    tokens = held(query_tokens(phrases, channels))
+    postings = wanted(index, tokens)
     key = ["query_id", "corpus", "family", "kind", "no", "idx"]
-    found = occurrences(tokens, index.postings, key, ["corpus", "idx", "token", "user_id"])
+    found = occurrences(tokens, postings, key, ["corpus", "idx", "token", "user_id"])
     names = tokens.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "token"))), lambda x: x["token"]), " ").alias("phrase"))
-    n = phrase_counts(tokens, index)
+    n = phrase_counts(tokens, index, postings)
     idf = names.join(n, ["corpus", "idx", "phrase"]).join(index.stats, ["corpus", "idx"])
     ratio = F.log((F.col("n_docs") - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
-    idf = idf.select(*key, F.when(ratio <= 0, F.lit(LEAST_IDF)).otherwise(ratio).alias("idf"), "avg_len")
+    idf = held(idf.select(*key, F.when(ratio <= 0, F.lit(LEAST_IDF)).otherwise(ratio).alias("idf"), "avg_len"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(bounded(written(idf, "idf")), key).groupBy("query_id", "family", "idx", "doc", "message")
+    scored = found.join(idf, key).groupBy("query_id", "family", "idx", "doc", "message")
     scored = scored.agg(F.sum(part).alias("score"), F.bool_or(F.col("kind") == "entity").alias("e"), F.bool_or(F.col("kind") == "content").alias("c"))
     return scored.where("family = 'any' or (e and c)").drop("e", "c")
 
@@ -67,7 +78,7 @@ def bm25(phrases: DataFrame, index: Index, channels: list[tuple[str, str]]) -> D
 def ranked(scores: DataFrame, pools: DataFrame) -> DataFrame:
     """The best of each channel, with their rank from 1: by score, then the newest message first."""
     order = Window.partitionBy("query_id", "family", "idx").orderBy(F.round("score", 12).desc(), F.col("message").desc(), F.col("doc").desc())
-    return scores.join(bounded(pools.select("query_id", "pool")), "query_id").withColumn("rank", F.row_number().over(order)).where("rank <= pool")
+    return scores.join(pools.select("query_id", "pool"), "query_id").withColumn("rank", F.row_number().over(order)).where("rank <= pool")
 
 
 def fused(ranks: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from mnemora.operators import rank
 from mnemora.operators.analyse import analysed, phrases
 from mnemora.operators.index import Index
 from mnemora.operators.model import MOST_TERMS, Model, allowed_order, strings
-from mnemora.sources.tables import bounded, written
+from mnemora.sources.tables import held
 
 MOST_RESULTS = 100
 
@@ -23,27 +23,38 @@ def checked_queries(queries: DataFrame) -> DataFrame:
     return q.withColumn("fault", F.when(empty("query"), "query").when(empty("user_id"), "user_id").when(~F.col("top_k").between(1, MOST_RESULTS), "top_k"))
 
 
+def accepted(queries: DataFrame) -> DataFrame:
+    """`queries` with stripped texts and top_k filled; an error if one of them is at fault."""
+    checked = held(checked_queries(queries))
+    bad = checked.where("fault is not null").orderBy("query_id").first()
+    if bad:
+        raise ValueError(f"query {bad.query_id}: {bad.fault} is missing or out of range")
+    return checked.drop("fault")
+
+
 def candidates(queries: DataFrame, index: Index, messages: DataFrame, bonus: float = 0.0, channels: list[tuple[str, str]] | None = None) -> DataFrame:
     """All fused candidates: query_id, message, content, created_at, event_ts, rrf and score."""
-    q = written(analysed(queries), "queries")
+    q = held(analysed(queries))
     ranks = rank.ranked(rank.bm25(phrases(q), index, channels or rank.all_channels()), q)
-    best = bounded(written(rank.fused(ranks), "fused"))
-    own = messages.select(F.col("id").alias("message"), "content", "created_at", "event_ts").join(best, "message")
-    return rank.with_time(own.join(bounded(q.select("query_id", "direction")), "query_id"), bonus)
+    # at most nine pools for each query; which side is broadcast is settled by their size at run time
+    own = messages.select(F.col("id").alias("message"), "content", "created_at", "event_ts").join(rank.fused(ranks), "message")
+    return rank.with_time(own.join(q.select("query_id", "direction"), "query_id"), bonus)
 
 
 def search(queries: DataFrame, index: Index, messages: DataFrame, bonus: float = 0.0, model: Model | None = None, channels: list[tuple[str, str]] | None = None) -> DataFrame:
     """(query_id, place, id, content, score, created_at): each query's results in order.
 
-    `queries` has query_id, query, user_id, top_k and maybe options and corpus. With a model, its
-    terms are added after stop words went, and its order puts the ids it names first.
+    `queries` has query_id, query, user_id, top_k (100 if null) and maybe options and corpus. With a
+    model, its terms are added after stop words went, and its order puts the ids it names first.
+    A query without text or user, or with another top_k than 1 to 100, is an error that names it.
     """
+    queries = accepted(queries)
     queries = queries if "options" in queries.columns else queries.withColumn("options", F.lit(None).cast("array<string>"))
     if model:
         queries = queries.withColumn("planned", strings(model.plan_query(F.col("query"), F.col("options")), MOST_TERMS))
     kept = rank.distinct_contents(candidates(queries, index, messages, bonus, channels))
     kept = kept.withColumn("id", F.concat(F.lit("mem_"), F.col("message").cast("string")))
-    asked = queries.select("query_id", "query", "options", "top_k")
+    asked = held(queries.select("query_id", "query", "options", "top_k"))
     if model:
         # a query has at most nine pools of candidates, so its list is bounded
         lists = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "content"))), lambda x: F.struct(x["id"].alias("id"), x["content"].alias("content"))).alias("offered"))
@@ -52,14 +63,14 @@ def search(queries: DataFrame, index: Index, messages: DataFrame, bonus: float =
         kept = kept.join(lists.select("query_id", order.alias("order")), "query_id")
         at = F.coalesce(F.nullif(F.array_position("order", F.col("id")), F.lit(0)), F.size("order") + 1)
         kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(at, "place")))
-    out = kept.join(bounded(asked.select("query_id", "top_k")), "query_id").where("place <= top_k")
+    out = kept.join(asked.select("query_id", "top_k"), "query_id").where("place <= top_k")
     return out.select("query_id", F.col("place").cast("long").alias("place"), "id", "content", F.bround("score", 6).alias("score"), "created_at")
 
 
 def baseline(queries: DataFrame, index: Index, messages: DataFrame) -> DataFrame:
     """The frozen earlier retriever: the raw channel alone, stop words and all, without fusion or removal of repeats."""
-    q = analysed(queries).withColumn("terms", F.col("raw")).withColumn("entities", F.array().cast("array<string>"))
-    q = written(q.withColumn("pool", F.col("top_k")), "queries")
+    q = analysed(accepted(queries)).withColumn("terms", F.col("raw")).withColumn("entities", F.array().cast("array<string>"))
+    q = held(q.withColumn("pool", F.col("top_k")))
     best = rank.ranked(rank.bm25(phrases(q), index, [("any", "raw")]), q)
-    own = messages.select(F.col("id").alias("message"), "content", "created_at").join(bounded(written(best, "best")), "message")
+    own = messages.select(F.col("id").alias("message"), "content", "created_at").join(best, "message")
     return own.select("query_id", F.col("rank").cast("long").alias("place"), F.concat(F.lit("mem_"), F.col("message").cast("string")).alias("id"), "content", F.bround("score", 6).alias("score"), "created_at")

@@ -138,11 +138,11 @@ def pool_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(spark, sf_dir)[3].postings.where("idx = 'raw'").select("token", "doc", "user_id", F.col("pos").cast("long").alias("pos"), F.col("len").cast("long").alias("len"))
+    return store(spark, sf_dir)[3].postings.select("idx", "token", "doc", "user_id", F.col("pos").cast("long").alias("pos"), F.col("len").cast("long").alias("len"))
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(spark, sf_dir)[3].token_stats.where("idx not like '%porter'").select("idx", "token", "n")
+    return store(spark, sf_dir)[3].token_stats.select("idx", "token", "n")
 
 
 def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stem_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = store(spark, sf_dir)[3].token_stats.where("idx = 'raw'").select(F.col("token").alias("word"))
+    words = store(spark, sf_dir)[3].token_stats.where("idx not like '%porter'").select(F.col("token").alias("word")).distinct()
     return with_stem(words, "word").select("word", "stem")
 
 
@@ -303,6 +303,58 @@ def locomo_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.questions(sources.numbered(spark.createDataFrame(DIALOGUES, sources.DIALOGUE))).select("query_id", "query", "category", "text")
 
 
+def evidence_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence that must be a whole result: each message's content, in the other case, as the first or second of two results."""
+    messages = store(spark, sf_dir)[0].select(F.col("id").alias("query_id"), "content")
+    both = F.array(F.struct((1 + F.col("query_id") % 2).alias("place"), F.upper("content").alias("content")), F.struct((2 - F.col("query_id") % 2).alias("place"), F.concat("content", F.lit(" and more")).alias("content")))
+    results = messages.select("query_id", F.explode(both).alias("r")).select("query_id", "r.place", "r.content")
+    return evaluate.evidence_ranks(results, messages.select("query_id", F.lit(0).alias("at"), F.col("content").alias("text")), exact=True).select("query_id", "at", "rank")
+
+
+def _json_file(rows: DataFrame, name: str) -> str:
+    """The rows as JSON array files in the shared folder, an array for each of up to a thousand rows."""
+    import uuid
+
+    from mnemora.sources.tables import shared_dir
+
+    at = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    dealt = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.pmod(F.xxhash64(rows.columns[0]), F.lit(max(1, rows.count() // 1000))).alias("part"))
+    arrays = dealt.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ","), F.lit("]")).alias("value")).select("value")
+    arrays.repartition(1 + rows.count() // 1000).write.option("lineSep", " ").text(at)
+    return at
+
+
+def dialogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations written as dialogue files of three sessions each, and read again by the source."""
+    turn = F.struct("turn", F.struct(F.col("role").alias("speaker"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("dia_id"), "text").alias("t"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", (F.col("turn") % 3).alias("session")).agg(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["t"]).alias("turns"))
+    rows = rows.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("session_"), F.col("session").cast("string")), "turns"))).alias("conversation"))
+    at = _json_file(rows.select(F.concat(F.lit("d"), F.col("conv_id").cast("string")).alias("sample_id"), "conversation"), "dialogues")
+    found = sources.turns(sources.dialogues(spark, at)).where("role <> '' and content <> concat(role, ': ')")
+    return found.select("sample_id", F.col("session").cast("long").alias("session"), F.split_part("dia_id", F.lit(":"), F.lit(2)).cast("long").alias("turn"), "dia_id", _sha("content"))
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case of each conversation, written as files of cases and read again by the source."""
+    rows = requests(spark, sf_dir).select(F.concat(F.lit("c"), F.col("arrival").cast("string")).alias("case_id"), "user_id", "session_id", "messages", F.lit("tea").alias("query"), F.array(F.lit("a"), F.lit("b")).alias("expected_evidence"))
+    found = sources.cases(spark, _json_file(rows, "cases"))
+    evidence = sources.evidence_of(found).groupBy("query_id").agg(F.count(F.lit(1)).alias("evidence"))
+    made = sources.requests_of(found).join(found.select(F.concat(F.lit("offline:"), "case_id").alias("request_id"), "case_id"), "request_id")
+    return made.join(evidence, made["case_id"] == evidence["query_id"]).select("case_id", "request_id", "user_id", F.size("messages").cast("long").alias("messages"), "evidence")
+
+
+def question_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most one question of all samples, counted after those without text or evidence went."""
+    return sources.questions(sources.numbered(spark.createDataFrame(DIALOGUES, sources.DIALOGUE)), 1).select("query_id").distinct()
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each of some requests to search, and their number of results."""
+    k = F.col("id")
+    rows = spark.range(1, 131).select(k.alias("query_id"), F.when(k % 5 == 0, F.lit(" \t")).otherwise(F.lit("tea")).alias("query"), F.when(k % 7 == 0, F.lit("")).otherwise(F.lit("u")).alias("user_id"), F.when(k % 11 == 0, F.lit(None)).when(k % 3 == 0, F.lit(0)).otherwise(k).cast("int").alias("top_k"))
+    return plan.checked_queries(rows).select("query_id", "fault", F.col("top_k").cast("long").alias("top_k"))
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests as a stream of files, each id counted once; what is stored is returned."""
     import uuid
@@ -327,6 +379,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {
     "bm25_raw": _channel("raw"), "bm25_context": _channel("context"), "bm25_fact": _channel("fact"), "bm25_raw_porter": _channel("raw_porter"), "bm25_context_porter": _channel("context_porter"), "bm25_fact_porter": _channel("fact_porter"), "bm25_entity_raw": _channel("raw", "both"),
+    "bm25_entity_porter": _channel("raw_porter", "both"), "bm25_entity_context": _channel("context_porter", "both"), "evidence_exact": evidence_exact, "dialogue_files": dialogue_files, "case_files": case_files, "question_cap": question_cap, "search_requests": search_requests,
     "recall_at_k": _metrics("recall_1", "recall_3", "recall_10"), "coverage_at_k": _metrics("coverage_1", "coverage_3", "coverage_10"), "hit_at_k": _metrics("hit_1", "hit_3", "hit_10"), "mrr_listed_first": _metrics("mrr"), "mrr_standard": _metrics("mrr_best"),
 }
 
@@ -342,7 +395,7 @@ _TOKENS = f"regexp_extract_all(regexp_replace(translate(lower({{0}}), {_q(text.M
 _FOLD = "replace(lower({0}), 'ß', 'ss')"
 _STOP = ", ".join(map(_q, text.STOP_WORDS))
 _USERS = "SELECT CAST(no * 100 + u AS INTEGER) AS query_id, query, 'user:' || u AS user_id, 10 AS top_k, []::VARCHAR[] AS planned FROM asked JOIN (SELECT query_id AS no FROM asked WHERE query_id <= 6) ON no = query_id, range(20) t(u)"
-_EVAL = "SELECT CAST(substr(request_id, 6) AS INTEGER) AS query_id, array_to_string(toks[2:4], ' ') AS query, user_id, 10 AS top_k, []::VARCHAR[] AS planned FROM (SELECT *, {t} AS toks FROM messages WHERE sequence = 1 AND CAST(substr(request_id, 6) AS INTEGER) % 5 = 2) WHERE array_to_string(toks[2:4], ' ') <> ''".format(t=_TOKENS.format("content"))
+_EVAL = "SELECT CAST(substr(request_id, 6) AS INTEGER) AS query_id, array_to_string(toks[2:4], ' ') AS query, user_id, 10 AS top_k, []::VARCHAR[] AS planned FROM (SELECT *, {t} AS toks FROM messages WHERE sequence = 1) WHERE array_to_string(toks[2:4], ' ') <> ''".format(t=_TOKENS.format("content"))
 _PLANNED = "SELECT *, ['la que', 'THER'] AS planned FROM asked"
 
 
@@ -359,10 +412,9 @@ WITH asked(query_id, query, user_id, top_k) AS (VALUES {rows}),
 m0 AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content, row_number() OVER (ORDER BY conv_id, turn) AS id FROM conversations),
 messages AS (SELECT id, 'conv:' || conv_id AS request_id, 'user:' || (conv_id % 20) AS user_id, role, content, CASE WHEN id % 7 <> 0 THEN conv_id * 1000 + turn END AS event_ts, turn AS sequence, '{NOW}' AS created_at FROM m0),
 contexts AS (SELECT id, user_id, concat_ws(chr(10), lag(content) OVER b, content, lead(content) OVER b) AS context FROM messages WINDOW b AS (PARTITION BY request_id ORDER BY sequence)),
-facts AS (SELECT id * 4096 + i - 1 AS fact_id, user_id, id AS source_message_id, f[i] AS fact_text FROM (
+facts AS (SELECT id * {ingest.MOST_FACTS} + row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS fact_id, user_id, id AS source_message_id, f[i] AS fact_text FROM (
   SELECT id, user_id, f, unnest(generate_series(1, len(f))) AS i FROM (
-    SELECT id, user_id, CASE WHEN len(f) > 1 AND f[1] = f[2] THEN f[1:1] ELSE f END AS f FROM (
-      SELECT id, user_id, list_filter(list_transform(string_split(content, '.'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) >= 20)[1:2] AS f FROM messages)) WHERE len(f) > 0)),
+    SELECT id, user_id, list_filter(list_transform(string_split(content, '.'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) >= 20) AS f FROM messages) WHERE len(f) > 0) WHERE list_position(f, f[i]) = i),
 texts AS (SELECT 'raw' AS idx, id AS doc, id AS message, user_id, content FROM messages UNION ALL SELECT 'context', id, id, user_id, context FROM contexts UNION ALL SELECT 'fact', fact_id, source_message_id, user_id, fact_text FROM facts),
 cut AS (SELECT idx, doc, message, user_id, {_TOKENS.format("content")} AS toks FROM texts),
 plain AS (SELECT idx, doc, message, user_id, len(toks) AS len, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM cut),
@@ -437,10 +489,10 @@ ORACLE_SQL: dict[str, str] = {
     "structured_query": _sql("SELECT query_id, array_to_string(entities, ' ') AS entities, array_to_string(others, ' ') AS others FROM qq WHERE len(entities) > 0 AND len(others) > 0"),
     "temporal_direction": _sql("SELECT query_id, direction FROM qq"),
     "pool_size": "SELECT k AS top_k, least(greatest(k * 4, 50), 200) AS pool FROM range(1, 101) t(k)",
-    "postings": _sql("SELECT token, doc, user_id, pos, len FROM post WHERE idx = 'raw'"),
-    "term_stats": _sql("SELECT idx, token, n FROM tstats WHERE idx NOT LIKE '%porter'"),
+    "postings": _sql("SELECT idx, token, doc, user_id, pos, len FROM post"),
+    "term_stats": _sql("SELECT idx, token, n FROM tstats"),
     "channel_stats": _sql("SELECT idx, n_docs, round(avg_len, 6) AS avg_len FROM stats"),
-    "stem_dictionary": _sql("SELECT s.word, s.stem FROM stems s JOIN tstats t ON t.token = s.word AND t.idx = 'raw'"),
+    "stem_dictionary": _sql("SELECT word, stem FROM stems"),
     "phrase_match": _sql("SELECT query_id, no - 1 AS no, doc, tf FROM occ JOIN (SELECT DISTINCT query_id AS q5, no AS n5, family AS f5 FROM p2 WHERE width > 1) ON q5 = query_id AND n5 = no AND f5 = family WHERE idx = 'raw' AND family = 'any'", "SELECT *, ['la que', 'in the', 'of the of'] AS planned FROM asked WHERE query_id <= 2"),
     "rrf_fusion": _sql("SELECT query_id, message, round(rrf, 6) AS rrf FROM fu"),
     "temporal_bonus": _sql("SELECT query_id, message, round(score, 6) AS score FROM ca", bonus=BONUS),
@@ -459,6 +511,12 @@ ORACLE_SQL: dict[str, str] = {
     "locomo_questions": "SELECT * FROM (VALUES ('s1:0', 'What tea?', '2', 'Milo: Jasmine tea.'), ('s1:3', 'Who?', 'unknown', 'Ana: Which tea?')) t(query_id, query, category, text)",
     "stream_ingest": "SELECT 'conv:' || conv_id AS request_id, 'user:' || (conv_id % 20) AS user_id, count(*) AS n FROM conversations GROUP BY conv_id",
     "bm25_raw": _sql(_BM.format("raw", "any")), "bm25_context": _sql(_BM.format("context", "any")), "bm25_fact": _sql(_BM.format("fact", "any")), "bm25_raw_porter": _sql(_BM.format("raw_porter", "any")), "bm25_context_porter": _sql(_BM.format("context_porter", "any")), "bm25_fact_porter": _sql(_BM.format("fact_porter", "any")), "bm25_entity_raw": _sql(_BM.format("raw", "both")),
+    "bm25_entity_porter": _sql(_BM.format("raw_porter", "both")), "bm25_entity_context": _sql(_BM.format("context_porter", "both")),
+    "evidence_exact": _sql("SELECT id AS query_id, 0 AS at, 1 + (id % 2) AS rank FROM messages"),
+    "dialogue_files": "SELECT 'd' || conv_id AS sample_id, turn % 3 AS session, turn, conv_id || ':' || turn AS dia_id, sha256(role || ': ' || text) AS content_sha256 FROM conversations WHERE role <> '' AND text <> ''",
+    "case_files": "SELECT 'c' || conv_id AS case_id, 'offline:c' || conv_id AS request_id, 'user:' || (conv_id % 20) AS user_id, count(*) AS messages, 2 AS evidence FROM conversations GROUP BY conv_id",
+    "question_cap": "SELECT query_id FROM (VALUES ('s1:0')) t(query_id)",
+    "search_requests": "SELECT k AS query_id, CASE WHEN k % 5 = 0 THEN 'query' WHEN k % 7 = 0 THEN 'user_id' WHEN k % 11 = 0 THEN NULL WHEN k % 3 = 0 OR k > 100 THEN 'top_k' END AS fault, CASE WHEN k % 11 = 0 THEN 100 WHEN k % 3 = 0 THEN 0 ELSE k END AS top_k FROM range(1, 131) t(k)",
     "recall_at_k": _eval(_N + ", ".join(f"round_even(sum(h{k}) / sum(items), 4) AS recall_{k}" for k in DEPTHS) + " FROM cs"),
     "coverage_at_k": _eval(_N + ", ".join(f"round_even(count(*) FILTER (h{k} = items) / count(*), 4) AS coverage_{k}" for k in DEPTHS) + " FROM cs"),
     "hit_at_k": _eval(_N + ", ".join(f"round_even(count(*) FILTER (h{k} > 0) / count(*), 4) AS hit_{k}" for k in DEPTHS) + " FROM cs"),

@@ -55,6 +55,17 @@ def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def held(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """`df` as a local table of the plan, with a hint to broadcast it, if it has at most `most` rows; else written.
+
+    For what a caller's few queries make: later plans needn't make it again, nor read a file.
+    """
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return written(df, "held")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def text_digest(text: Column) -> Column:
     """The SHA-256 of a text; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
