@@ -111,6 +111,8 @@ def brute_spans(texts, length, keep_first=False):
         for i, s in places[keep_first:] if len(places) > 1 else []:
             gone[i][s : s + length] = True
     out = []
+    if length == 256:
+        return [int(g.sum()) for g in gone]
     for t, g in zip(texts, gone):
         raw = np.frombuffer((t or "").encode(), np.uint8)
         out.append((len(raw), int(g.sum()), int((np.diff(np.concatenate(([0], g.astype(int)))) == 1).sum()), hashlib.sha256(raw[~g].tobytes()).hexdigest()))
@@ -124,11 +126,42 @@ def test_repeated_strings(spark, keep_first, hot):
     passage, other = words(120), "ßé😀\0" * 60
     texts = [words(rng.randrange(60)) + passage[rng.randrange(80) :] + words(rng.randrange(60)) for _ in range(14)]
     texts += [passage, passage, None, "", "x" * 399, "y" * 401, "for " * 300, "z" * 1200, other + words(90), words(30) + other, words(400), passage[:399]]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs(spark, texts), keep_first=keep_first, hot=hot).collect()}
+    texts += [passage[:300] + words(40), words(50) + passage[:300], passage[100:355]]
+    rows = suffix_dedup.removed(docs(spark, texts), keep_first=keep_first, hot=hot).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 400, keep_first)
+    assert [r.n_repeated for r in sorted(rows)] == brute_spans(texts, 256)
     assert suffix_dedup.removed(docs(spark, [])).count() == 0
 
 
+def test_longest_previous_factors():
+    """By previous and next smaller positions, as by comparing all suffixes."""
+    rng = random.Random(7)
+    for _ in range(60):
+        n = rng.randrange(1, 12)
+        texts = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 9))) for _ in range(n))
+        place = rng.sample(range(100), n)
+        lcp = [0, *(suffix_dedup.common(a, b) for a, b in zip(texts, texts[1:]))]
+        factor, source = suffix_dedup.previous_factors(place, lcp)
+        for i in range(n):
+            earlier = [suffix_dedup.common(texts[i], texts[j]) for j in range(n) if place[j] < place[i]]
+            assert factor[i] == max(earlier, default=0)
+            assert source[i] < 0 if not factor[i] else place[source[i]] < place[i] and suffix_dedup.common(texts[i], texts[source[i]]) == factor[i]
+
+
+def test_intervals():
+    """Each set of neighbours that agree in a places stands in one interval, for just these a."""
+    rng = random.Random(8)
+    for _ in range(40):
+        lcp = [0, *(rng.randrange(6) for _ in range(rng.randrange(9)))]
+        got = {(a, s, e) for s, e, least, last in suffix_dedup.intervals(lcp, 4) for a in range(least, last + 1)}
+        want = set()
+        for a in range(5):
+            cuts = [0, *(t for t in range(1, len(lcp)) if lcp[t] < a), len(lcp)]
+            want |= {(a, s, e) for s, e in zip(cuts, cuts[1:]) if e - s > 1}
+        assert got == want
+
+
 def test_anchors_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     rng = random.Random(6)
@@ -137,5 +170,5 @@ def test_anchors_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 19)
     q, k = suffix_dedup.anchors(raw)
     assert (p == q).all() and (h == k).all()
-    width = suffix_dedup.LENGTH - suffix_dedup.SEED
+    width = suffix_dedup.WINDOW - suffix_dedup.SEED
     assert np.diff(p).max() <= width + 1 and p[0] <= width
