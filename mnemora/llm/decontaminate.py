@@ -10,7 +10,9 @@ exactly on the item-sized window. Explode, join, bounds and verification run in
 that is no prefix shingle is never materialised or shuffled, and only hits leave the map side.
 
 The benchmark's windows are broadcast in blocks of at most `block` windows each, so what is
-broadcast is bounded whatever the benchmark's size. Everything is DataFrame operations.
+broadcast is bounded whatever the benchmark's size; the documents are read once for each block. Hits
+meet by id and digest of the text, not by a row number, so that neither a block's own reading nor a task
+that is run again can part or mix rows. Everything is DataFrame operations.
 
 Defined results: a null or wordless text has no words and no hits and isn't contaminated; null or
 wordless items are ignored; repeated items count once; repeated document rows give a row each; a
@@ -41,9 +43,9 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document: its id, a row number and its words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), spaced(F.col(text_col)).alias("sp"))
-    return rows.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("sp")).alias("ws"))
+    """A row for each document: its id, its text's digest and its words."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), spaced(F.col(text_col)).alias("sp"))
+    return rows.select("doc_id", "digest", words(F.col("sp")).alias("ws"))
 
 
 def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     blocks = max(1, -(-wins.count() // block))
     pre = written(prefixes(toks, wins).withColumn("part", F.pmod(F.xxhash64("win"), F.lit(blocks))), "prefixes")
     # the empty word stands once at the end of each document and matches a row that keeps the document
-    each = toks.select("doc_id", "row", "ws", F.size("ws").alias("n_words"), F.posexplode(F.concat("ws", F.array(F.lit("")))).alias("pos", "token"))
+    each = toks.select("doc_id", "digest", "ws", F.size("ws").alias("n_words"), F.posexplode(F.concat("ws", F.array(F.lit("")))).alias("pos", "token"))
     keep = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("win"), F.lit(0).alias("len"), F.lit(None).cast("array<string>").alias("items"))
 
     def part(i: int) -> DataFrame:
@@ -73,10 +75,12 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))  # positional and length bounds
         found = found.where((F.col("len") == 0) | (fits & (F.slice("ws", F.greatest(start + 1, F.lit(1)), F.col("len")) == F.col("win"))))
         span = F.when(F.col("len") > 0, F.struct(start.alias("s"), (start + F.col("len")).alias("e")))
-        return found.select("doc_id", "row", "n_words", span.alias("span"), "items")
+        return found.select("doc_id", "digest", "n_words", span.alias("span"), "items")
 
     found = reduce(DataFrame.unionByName, [part(i) for i in range(blocks)])
-    return found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")).drop("row")
+    each = found.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("span").isNull()).alias("rows"))
+    # rows that repeat an id and a text were counted by the empty word and come back as often
+    return each.withColumn("rows", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("rows", "digest")
 
 
 def covered(spans: str) -> F.Column:
