@@ -32,8 +32,9 @@ from mnemora.llm.arrow import in_arrow
 from mnemora.sources.tables import table
 
 BLANK = "▁"
-#: Most entries in a worker's tables of chunks and of pairs; one is emptied when full.
-TABLE, PAIRS = 250_000, 400_000
+#: Most entries in a worker's tables of chunks and of pairs, and most characters in all that the first
+#: holds; a table is emptied when full.
+TABLE, PAIRS, HELD = 250_000, 400_000, 30_000_000
 
 
 class Pieces:
@@ -66,6 +67,7 @@ class Pieces:
         self.cut = re.compile(rest if apart else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
         self.pairs: dict[int, bool] = {}
         self.found: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if len(p) == 1 or self.merged(p) == [i]:  # a piece that merging never makes is left out
@@ -174,17 +176,25 @@ class Pieces:
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, the ids each after a space, and what they decode to."""
-        if len(self.found) >= TABLE:
-            self.found.clear()
+        if len(self.found) >= TABLE or self.held >= HELD:
+            self.forget()
         if chunk[:2] != BLANK * 2 and self.chars.issuperset(chunk):
             ids = self.backtracked(chunk)
             text = "".join([self.spaced[i] for i in ids])
         else:
             ids = self.encode_chunk(chunk)
             text = self.pieces_text(ids)
-        r = self.found[chunk] = (len(ids), "".join([self.listed[i] for i in ids]), text)
+        r = (len(ids), "".join([self.listed[i] for i in ids]), text)
+        if (size := len(chunk) + len(r[1]) + len(text)) < HELD // 100:
+            self.found[chunk] = r
+            self.held += size
         return r
 
+    def forget(self) -> None:
+        """Empty the table of chunks."""
+        self.found.clear()
+        self.held = 0
+
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """What `chunk` gives for each chunk of a whole text."""
         if not text:
@@ -226,7 +236,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
                 part = b.slice(a, 64)
                 ids = [m.encode(t.as_py() or "") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
-        m.found.clear()  # a worker that waits for another task holds no table
+        m.forget()  # a worker that waits for another task holds no table
 
     return docs.select(docs[id_col].alias("doc_id"), text_col).transform(in_arrow, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
@@ -241,7 +251,7 @@ def digested(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
             rows = [m.digests(t.as_py() or "") for t in b.column(1)]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        m.found.clear()
+        m.forget()
 
     return docs.select(docs[id_col].alias("doc_id"), text_col).transform(in_arrow, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -242,6 +242,18 @@ def test_pieces(spark):
     assert pieces.digested(docs(spark, [])).count() == 0
 
 
+def test_pieces_of_one_long_chunk(monkeypatch):
+    """A chunk of a megabyte is the library's, and the table of chunks stays within its bounds."""
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.default_path())
+    monkeypatch.setattr(pieces, "HELD", 20_000)
+    m, rng = pieces.Pieces(pieces.default_path()), random.Random(4)
+    long = "".join(rng.choice("abcdefgh") for _ in range(1 << 20))
+    assert m.encode(long) == lib.encode(long, add_eos=True)
+    for i in range(3000):
+        m.encode(f"w{'q' * (i % 50)}x{i}z")
+        assert m.held <= 20_000 + 200
+
+
 def test_pipeline(spark, tables):
     from tests.llm.test_native_ops import brute_hits
     from tests.llm.test_pairs import brute
