@@ -54,6 +54,9 @@ def samples(seed: int = 11, n: int = 4000) -> tuple[list[str], list[str]]:
     syllables = "an ar as ch ció de di do ed en er es ge ha he ie in ing ion it la le li lo ly ment mi nd ne no on or ou ra re ri ro ru se sh st ta te ten th ti tion to tra un ung ver vi wh za".split()
 
     def identifier() -> str:
+        if rng.random() < 0.15:  # a ruler, a leader or a placeholder: a character or two marks over and over
+            unit = rng.choice([rng.choice(ALPHABET), rng.choice("+/_=.-") + rng.choice("+/_=.-")])
+            return unit * (rng.randint(20, 60) // len(unit)) + rng.choice(["", "", str(rng.randint(1, 400))])
         some = [rng.choice(words) for _ in range(rng.randint(3, 7))]
         style = rng.randrange(8)
         if style == 0:

@@ -70,6 +70,12 @@ def test_secret_spans(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_rulers_are_no_secrets(spark):
+    texts = ["Chapter one " + "." * 28 + "12", "-" * 26, "x" * 40, "=" * 30 + " heading " + "_" * 50, "0" * 12 + "1" * 20 + "/" * 22, "x7Kq9ZpL2vRt8WmN4bYc6HdF"]
+    got = {r.doc_id: len(r.markov) for r in secrets.scan(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
 def test_secret_model_on_held_out_samples():
     noise, plain = secrets.samples(seed=77, n=1000)
 
@@ -128,6 +134,9 @@ def test_contamination(spark, block):
     got = {r.doc_id: r for r in decontaminate.contamination(docs(spark, texts), bench, block=block).collect()}
     for i, (n, hit, its, bad) in enumerate(brute_hits(texts, [x for x in items if x[0]])):
         assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].contaminated) == (n, hit, its, bad), i
+    twice = docs(spark, texts).union(docs(spark, texts)).union(docs(spark, [texts[0]], [1])).repartition(7)
+    again = sorted((r.doc_id, r.n_hit, r["items"]) for r in decontaminate.contamination(twice, bench, block=block).collect())
+    assert again == sorted([(i, r.n_hit, r["items"]) for i, r in got.items()] * 2 + [(1, got[0].n_hit, got[0]["items"])])
     left = decontaminate.drop_contaminated(docs(spark, texts), bench)
     assert left.columns == docs(spark, texts).columns and left.count() == sum(not r.contaminated for r in got.values())
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
