@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.functions.porter import with_stem
@@ -24,19 +23,13 @@ class Index:
     token_stats: DataFrame
     stats: DataFrame
 
-    def save(self, path: str) -> None:
-        """Parquet; postings are parted by index, and each file is sorted by token, so that scans for a few tokens skip row groups."""
-        self.postings.sortWithinPartitions("idx", "token").write.partitionBy("idx").mode("overwrite").parquet(f"{path}/postings")
-        self.token_stats.write.mode("overwrite").parquet(f"{path}/token_stats")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    def tables(self) -> dict[str, DataFrame]:
+        """What to write: each file of postings is sorted by index and token, so that scans for a few tokens skip row groups."""
+        return {"postings": self.postings.select(_names("postings")).sortWithinPartitions("idx", "token"), "token_stats": self.token_stats.select(_names("token_stats")), "stats": self.stats.select(_names("stats"))}
 
     @staticmethod
-    def load(spark: SparkSession, *paths: str) -> Index:
-        """One index of the saved ones, which have no document in common: counts add up."""
-        parts = [spark.read.schema(SCHEMAS["postings"]).parquet(f"{p}/postings") for p in paths]
-        postings = reduce(DataFrame.unionByName, parts)
-        token_stats = spark.read.schema(SCHEMAS["token_stats"]).parquet(*(f"{p}/token_stats" for p in paths))
-        stats = spark.read.schema(SCHEMAS["stats"]).parquet(*(f"{p}/stats" for p in paths))
+    def of_parts(postings: DataFrame, token_stats: DataFrame, stats: DataFrame) -> Index:
+        """One index of the tables of several, which have no document in common: counts add up."""
         token_stats = token_stats.groupBy("corpus", "idx", "token").agg(F.sum("n").alias("n"))
         return Index(postings, token_stats, stats.groupBy("corpus", "idx").agg(*_sizes()))
 
@@ -46,6 +39,12 @@ SCHEMAS = {
     "token_stats": "corpus string, idx string, token string, n long",
     "stats": "corpus string, idx string, n_docs long, total_len long, avg_len double",
 }
+
+
+def _names(table: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[table].split(", ")]
+
+
 def _sizes() -> list:
     return [F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"), (F.sum("total_len") / F.sum("n_docs")).alias("avg_len")]
 

@@ -364,7 +364,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemora.streaming.ingest import ingest_stream, request_stream
 
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    twice(spark, sf_dir).orderBy("arrival").coalesce(1).write.json(f"{at}/in")
+    twice(spark, sf_dir).repartition(8, "request_id").write.json(f"{at}/in")
     kept = Store(spark, f"{at}/store")
     ingest_stream(request_stream(spark, f"{at}/in"), kept, f"{at}/checkpoint", NOW).awaitTermination()
     return kept.read("messages").groupBy("request_id", "user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,15 +21,12 @@ def ingest_stream(requests: DataFrame, store: Store, checkpoint: str, now: str |
     """Store a stream of requests; what has come is stored when the query ends.
 
     The store's ledger keeps the ids, so a restarted stream repeats none, and state doesn't grow with
-    them. A micro-batch's number names its folder, so one that is run again is stored once.
+    them. The stream's own id, which its checkpoint keeps, and a micro-batch's number name its part, so one
+    that is run again is stored once, and other streams on the store have other names.
     """
 
     def store_batch(batch: DataFrame, number: int) -> None:
-        store.add(batch, f"stream-{number:09d}", now)
+        own = json.loads(store.spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        store.add(batch, f"stream-{own}-{number:09d}", now)
 
     return requests.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def first_of_stream(requests: DataFrame) -> DataFrame:
-    """The stream's own removal of repeated ids, with unbounded state, for sinks without a ledger."""
-    return requests.dropDuplicates(["request_id"])
