@@ -17,7 +17,7 @@ Passes are iterative, so depth does not matter; work and memory are proportional
 
 Defined results: a null or empty page has an empty text; unclosed and stray tags are borne: an element
 of RAW or HIDDEN that no tag closes is an empty one, but a script or style goes on to the page's end; a
-tag cut off by the page's end is dropped; repeated rows give a row each; other columns are ignored.
+tag cut off by the page's end is dropped; a quote that doesn't open a value is a character like others; repeated rows give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ BLOCKS = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"}}
 BOUNDS = frozenset("ul ol dl table div section article main aside nav body html td th blockquote form".split()) | HIDDEN
 CLOSE_P = BLOCKS - frozenset("br body head html li dd dt td th tr tbody thead tfoot caption legend option title summary".split())
-_token = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|/([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)(?:>|\Z))""", re.S)
+_token = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|/([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z))""", re.S)
 _named = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Words of class, id and role, by what they hint at.
 HINTS = {

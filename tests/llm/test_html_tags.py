@@ -45,3 +45,15 @@ def test_closed_tags_hide_their_content(tag):
 def test_formulas_are_text():
     page = f"<article>{BEFORE}<p>The area of it is <math><mi>a</mi><mo>=</mo><mn>42</mn></math> at least, as was said.</p></article>"
     assert html_text.default_model().text(page) == "The first words of a story are here. The area of it is a=42 at least, as was said."
+
+
+def test_lone_quotes_and_quoted_brackets():
+    m = html_text.default_model()
+    for tag in ("<p title=it's>", '<p title=5">', "<p data-x='a>b' y=\"c>d\">", "<p x = 'a > b'>", "<p it's>"):
+        assert m.text(f"<body><article>{BEFORE}{INSIDE.format('').replace('<p>', tag)}</article></body>") == TEXT, tag
+
+
+def test_repeated_rows(spark):
+    page = next(pages(""))
+    rows = spark.createDataFrame([(1, "u", page, 3)] * 2 + [(None, None, None, 3)], "page_id long, url string, html string, n_chars int")
+    assert sorted(((r.page_id, r.text) for r in html_text.extracted(rows, keep=("url",)).collect()), key=str) == [(1, TEXT), (1, TEXT), (None, "")]
