@@ -7,7 +7,8 @@ Toxic documents go (by a model learnt from the labelled ones among its own input
 largest doc_id stays; of each group of near copies the smallest doc_id stays; contaminated documents
 go; the rest are encoded to ids, and each encoding is decoded again.
 
-Defined results: null texts count as empty and are kept once; an empty table gives an empty result.
+Defined results: null texts count as empty; of equal texts under several ids one stays, and rows that repeat
+an id and a text share one fate, so they stay or go together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
