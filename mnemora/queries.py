@@ -19,7 +19,7 @@ from mnemora.operators.index import Index, build, documents
 from mnemora.operators.model import RuleModel
 from mnemora.plans import search as plan
 from mnemora.sources import cases as sources
-from mnemora.sources.tables import table, written
+from mnemora.sources.tables import forgetting, table, written
 
 NOW = "2026-01-01T00:00:00Z"
 BONUS = 0.001
@@ -268,6 +268,9 @@ def _ranks(app: str, sf_dir: str, earlier: bool) -> DataFrame:
     return written(evaluate.evidence_ranks(got, evidence), "ranks")
 
 
+forgetting += [_store.cache_clear, _ranks.cache_clear]
+
+
 def _summary(spark: SparkSession, sf_dir: str, earlier: bool = False) -> DataFrame:
     ranks = _ranks(spark.sparkContext.applicationId, sf_dir, earlier)
     return evaluate.summary(evaluate.by_case(ranks, DEPTHS), DEPTHS)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+#: What else forgets the tables when they are deleted.
+forgetting: list[Callable[[], None]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +87,8 @@ def without(df: DataFrame, ids: DataFrame, key: str, digest: Column) -> DataFram
 
 def release() -> None:
     """Delete every table that `written` made in this process."""
+    for forget in forgetting:
+        forget()
     while _written:
         spark, path = _written.pop()
         try:
