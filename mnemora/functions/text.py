@@ -66,6 +66,10 @@ def direction(text: Column) -> Column:
     return F.when(text.rlike("(?iU)" + CURRENT_CUES), 1).when(text.rlike("(?iU)" + FORMER_CUES), -1).otherwise(0)
 
 
+#: Most rows that a channel contributes.
+MOST_POOL = 200
+
+
 def pool_size(top_k: Column) -> Column:
-    """How many rows a channel contributes: four times the results, within 50 and 200."""
-    return F.least(F.greatest(top_k * 4, F.lit(50)), F.lit(200))
+    """How many rows a channel contributes: four times the results, within 50 and MOST_POOL."""
+    return F.least(F.greatest(top_k * 4, F.lit(50)), F.lit(MOST_POOL))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.porter import with_stem
-from mnemora.functions.text import casefold
+from mnemora.functions.text import MOST_POOL, casefold
 from mnemora.operators.index import BASES, Index
 from mnemora.sources.tables import held
 
@@ -31,10 +31,15 @@ def query_tokens(phrases: DataFrame, channels: list[tuple[str, str]]) -> DataFra
 
 
 def occurrences(tokens: DataFrame, postings: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """Per phrase (keys) and document: how often the phrase's tokens stand one after the other (tf)."""
+    """Per phrase (keys) and document: how often the phrase's tokens stand one after the other (tf).
+
+    One shuffle by phrase or query and document serves every grouping here and in bm25, as their keys hold
+    it. A place of a document has one token, so each offset of a phrase is met once from a start.
+    """
     found = postings.join(tokens, on).withColumn("start", F.col("pos") - F.col("off"))
+    found = found.repartition(*[k for k in ("query_id", "phrase", "idx") if k in keys], "doc")
     doc = [*keys, "doc", "message", "len"]
-    whole = found.groupBy(*doc, "width", "start").agg(F.countDistinct("off").alias("k")).where("k = width")
+    whole = found.groupBy(*doc, "width", "start").agg(F.count(F.lit(1)).alias("k")).where("k = width")
     return whole.groupBy(*doc).agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -76,9 +81,12 @@ def bm25(phrases: DataFrame, index: Index, channels: list[tuple[str, str]]) -> D
 
 
 def ranked(scores: DataFrame, pools: DataFrame) -> DataFrame:
-    """The best of each channel, with their rank from 1: by score, then the newest message first."""
+    """The best of each channel, with their rank from 1: by score, then the newest message first.
+
+    No pool is above MOST_POOL; naming that bound lets each task drop what can't be among the best before the shuffle.
+    """
     order = Window.partitionBy("query_id", "family", "idx").orderBy(F.round("score", 12).desc(), F.col("message").desc(), F.col("doc").desc())
-    return scores.join(pools.select("query_id", "pool"), "query_id").withColumn("rank", F.row_number().over(order)).where("rank <= pool")
+    return scores.join(pools.select("query_id", "pool"), "query_id").withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= MOST_POOL) & (F.col("rank") <= F.col("pool")))
 
 
 def fused(ranks: DataFrame) -> DataFrame:

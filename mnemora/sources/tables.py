@@ -61,10 +61,11 @@ def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
 def held(df: DataFrame, most: int = 20_000) -> DataFrame:
     """`df` as a local table of the plan, with a hint to broadcast it, if it has at most `most` rows; else written.
 
-    For what a caller's few queries make: later plans needn't make it again, nor read a file.
+    For what a caller's few queries make: later plans needn't make it again, nor read a file, and what is
+    selected from it alone is worked out while planning, without a job.
     """
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
         return written(df, "held")
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
