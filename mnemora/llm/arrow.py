@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -11,14 +13,31 @@ from pyspark.sql import DataFrame
 _SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Most bytes of a batch that goes to a Python worker, unless the session has a setting of its own.
 BYTES = "8m"
+def free() -> None:
+    """Give back what a task used: workers live on, and what they keep adds up over the stages of a job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """`df.mapInArrow`, after the session's batches were bounded by bytes, so that long texts don't add up."""
+    """`df.mapInArrow`, after the session's batches were bounded by bytes, so that long texts don't add up.
+
+    A worker frees its memory when a task ends.
+    """
     conf = df.sparkSession.conf
     if conf.get(_SIZE, None) is None:
         conf.set(_SIZE, BYTES)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def learnt(rows: DataFrame, train: Callable):
