@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 _SIZE = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Most bytes of a batch that goes to a Python worker, unless the session has a setting of its own.
 BYTES = "8m"
+
+
 def free() -> None:
     """Give back what a task used: workers live on, and what they keep adds up over the stages of a job."""
     gc.collect()
