@@ -315,7 +315,7 @@ def evidence_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _json_file(rows: DataFrame, name: str) -> str:
-    """The rows as JSON array files in the shared folder, an array for each of up to a thousand rows."""
+    """The rows as JSON array files in the shared folder: some thousand rows in each array, and one array in each file."""
     import uuid
 
     from mnemora.sources.tables import shared_dir
@@ -323,7 +323,7 @@ def _json_file(rows: DataFrame, name: str) -> str:
     at = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     dealt = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.pmod(F.xxhash64(rows.columns[0]), F.lit(max(1, rows.count() // 1000))).alias("part"))
     arrays = dealt.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ","), F.lit("]")).alias("value")).select("value")
-    arrays.repartition(1 + rows.count() // 1000).write.option("lineSep", " ").text(at)
+    arrays.write.option("maxRecordsPerFile", 1).option("lineSep", " ").text(at)
     return at
 
 

@@ -57,3 +57,16 @@ def test_fact_ids_of_long_messages_differ(spark):
     messages = spark.createDataFrame([(1, "u", text), (2, "u", text)], "id long, user_id string, content string")
     facts = ingest.facts_of(messages, RuleModel().extract_facts(F.col("content")))
     assert facts.select("fact_id").distinct().count() == facts.count() == 10_000
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Arrays of files come from several tasks, as they do from more input."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_every_case_is_read_from_several_files(spark, tables, uncoalesced):
+    sf = tables({c: [f"Said in {c}"] for c in range(6000)})
+    assert sorted(r.case_id for r in queries.case_files(spark, sf).collect()) == sorted(f"c{c}" for c in range(6000))
