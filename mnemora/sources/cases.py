@@ -14,10 +14,15 @@ REQUIRED = ("case_id", "user_id", "session_id", "messages", "query", "expected_e
 
 
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The objects of a JSON array file; a file that holds none is an error."""
+    """The objects of JSON array files; a file that holds no array, a broken one or more behind it is an error.
+
+    Spark's reader takes a file's first value and is silent on the rest, so each file is parsed inside an
+    object, whose last member is there only if the file is one value. It passes over files of no bytes.
+    """
     whole = spark.read.text(path, wholetext=True)
-    if whole.where(~F.trim("value").startswith("[")).limit(1).count():
-        raise ValueError(f"{path} must hold a JSON array")
+    one = F.from_json(F.concat(F.lit('{"array":'), "value", F.lit(',"end":1}')), "array string, end int")["end"]
+    if whole.where(~F.col("value").rlike(r"^\s*\[") | one.isNull()).limit(1).count():
+        raise ValueError(f"{path} must hold a JSON array in each file")
     return spark.read.json(path, schema=schema, multiLine=True)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemora import queries
 from mnemora.operators import ingest
 from mnemora.operators.model import RuleModel
+from mnemora.sources import cases as sources
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -70,3 +71,18 @@ def uncoalesced(spark):
 def test_every_case_is_read_from_several_files(spark, tables, uncoalesced):
     sf = tables({c: [f"Said in {c}"] for c in range(6000)})
     assert sorted(r.case_id for r in queries.case_files(spark, sf).collect()) == sorted(f"c{c}" for c in range(6000))
+
+
+def test_every_turn_is_read_from_several_files(spark, tables, uncoalesced):
+    sf = tables({c: ["One", "two"] for c in range(6000)})
+    assert sorted(r.dia_id for r in queries.dialogue_files(spark, sf).collect()) == sorted(f"{c}:{k}" for c in range(6000) for k in (0, 1))
+
+
+def test_only_one_array_in_a_file(spark, tmp_path):
+    dialogue = '{"sample_id":"%s","conversation":{"session_1":[{"speaker":"Ana","dia_id":"D1:1","text":"[x] \\"]} y"}]}}'
+    for k, text in enumerate((f"[{dialogue % 1}] [{dialogue % 2}]", f"[{dialogue % 1}] x", f"[{dialogue % 1}, {{", "{}")):
+        (tmp_path / f"{k}.json").write_text(text)
+        with pytest.raises(ValueError, match="must hold a JSON array"):
+            sources.dialogues(spark, str(tmp_path / f"{k}.json"))
+    (tmp_path / "one.json").write_text(f"\n [{dialogue % 1},\n{dialogue % 2}]\n")
+    assert [r.content for r in sources.turns(sources.dialogues(spark, str(tmp_path / "one.json"))).collect()] == ['Ana: [x] "]} y'] * 2
