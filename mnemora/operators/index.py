@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.porter import with_stem
 from mnemora.functions.text import index_tokens
-from mnemora.sources.tables import written
+from mnemora.sources.tables import bounded, discard, written
 
 #: The indexed texts; each has a plain and a stemmed index.
 BASES = ("raw", "fact", "context")
+#: Most tokens with their stems that are broadcast: some 100 bytes each.
+MOST_STEMS = 1_000_000
 
 
 @dataclass
@@ -68,10 +70,17 @@ def build(docs: DataFrame) -> Index:
     cut = written(cut.withColumn("len", F.size("tokens")), "tokens")
     plain = cut.select("corpus", "idx", "doc", "message", "user_id", "len", F.posexplode("tokens").alias("pos", "token"))
     stems = written(with_stem(plain.select("token").distinct(), "token"), "stems")
-    stemmed = plain.join(stems, "token").withColumn("idx", F.concat("idx", F.lit("_porter"))).withColumn("token", F.col("stem")).drop("stem")
+    # a few rows for each word of the language: with them broadcast, the postings needn't be shuffled
+    stemmed = plain.join(bounded(stems, MOST_STEMS), "token").withColumn("idx", F.concat("idx", F.lit("_porter"))).withColumn("token", F.col("stem")).drop("stem")
     columns = ["corpus", "idx", "token", "doc", "message", "user_id", "pos", "len"]
-    postings = written(plain.select(columns).unionByName(stemmed.select(columns)).sortWithinPartitions("idx", "token"), "postings")
-    token_stats = postings.groupBy("corpus", "idx", "token").agg(F.countDistinct("doc").alias("n"))
+    postings = written(plain.select(columns).unionByName(stemmed.select(columns)).sortWithinPartitions("idx", "token", "doc"), "postings", dense=True)
+    # texts are dealt out, not their far larger postings, and so that a task has some million tokens
+    tasks = 1 + (cut.agg(F.sum("len")).first()[0] or 0) // 1_000_000
+    held_by = cut.repartition(tasks, "idx", "doc").select("corpus", "idx", "doc", F.explode(F.array_distinct("tokens")).alias("token"))
+    stems_by = held_by.join(bounded(stems, MOST_STEMS), "token").select("corpus", F.concat("idx", F.lit("_porter")).alias("to"), "idx", "doc", F.col("stem").alias("token")).groupBy("corpus", "idx", "doc", "token", "to").agg(F.lit(1))
+    token_stats = held_by.select("corpus", "idx", "token").unionByName(stems_by.select("corpus", F.col("to").alias("idx"), "token")).groupBy("corpus", "idx", "token").agg(F.count(F.lit(1)).alias("n"))
     size = cut.groupBy("corpus", "idx").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").cast("long").alias("total_len"), F.avg("len").alias("avg_len"))
     both = size.unionByName(size.withColumn("idx", F.concat("idx", F.lit("_porter"))))
-    return Index(postings, written(token_stats, "token-stats"), written(both, "stats"))
+    index = Index(postings, written(token_stats, "token-stats"), written(both, "stats"))
+    discard(cut, stems)
+    return index

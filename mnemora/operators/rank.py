@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.porter import with_stem
 from mnemora.functions.text import MOST_POOL, casefold
 from mnemora.operators.index import BASES, Index
-from mnemora.sources.tables import held
+from mnemora.sources.tables import BROADCAST_IDS, bounded, discard, held, text_digest, written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Most tokens that a scan's filter names.
 MOST_NAMES = 2000
+#: Most tokens of phrases, by user and index, that are broadcast: some 100 bytes each.
+MOST_PLACES = 1_000_000
+#: Most phrases of queries that are broadcast at once, some 50 bytes each; the parts are read once for each such block.
+MOST_ASKED = 2_000_000
 #: Reciprocal rank fusion.
 RRF = 60
 #: (family, index): weight of a channel. Channels of weight 0 only add candidates.
@@ -65,7 +69,10 @@ def bm25(phrases: DataFrame, index: Index, channels: list[tuple[str, str]]) -> D
 
     Statistics are of all users; only then is the match kept to the query's user.
     """
-    tokens = held(query_tokens(phrases, channels))
+    return _scored(held(query_tokens(phrases, channels)), index)
+
+
+def _scored(tokens: DataFrame, index: Index) -> DataFrame:
     postings = wanted(index, tokens)
     key = ["query_id", "corpus", "family", "kind", "no", "idx"]
     found = occurrences(tokens, postings, key, ["corpus", "idx", "token", "user_id"])
@@ -80,6 +87,70 @@ def bm25(phrases: DataFrame, index: Index, channels: list[tuple[str, str]]) -> D
     return scored.where("family = 'any' or (e and c)").drop("e", "c")
 
 
+def best(phrases: DataFrame, index: Index, channels: list[tuple[str, str]], pools: DataFrame, few: int = 20_000) -> DataFrame:
+    """The rows of `ranked(bm25(...), pools)`; for more than `few` tokens of queries by way of `_pruned`."""
+    tokens = held(query_tokens(phrases, channels), few)
+    if tokens.limit(few + 1).count() <= few:
+        return ranked(_scored(tokens, index), pools)
+    return _pruned(tokens, index, pools)
+
+
+def _pruned(tokens: DataFrame, index: Index, pools: DataFrame) -> DataFrame:
+    """The best of each channel, exactly, without a shuffle of each query's matching documents.
+
+    What a phrase adds to a document's score is worked out once for all queries of a user, and these parts are
+    dealt out by document; there they meet the queries and are summed up. A group is a query and channel, its
+    bar the highest of its phrases' own pool-th best parts (a bit less, as they are counted in steps): a pool
+    of documents reaches it, so scores below it go before the one shuffle by group. Groups that need entity and
+    content have no bar, as what holds both isn't known before.
+    """
+    phrase = F.array_join(F.collect_list("token").over(Window.partitionBy("query_id", "family", "kind", "no", "idx").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), " ")
+    named = written(tokens.withColumn("phrase", phrase), "named")
+    n = phrase_counts(tokens, index, index.postings)
+    own = ["corpus", "user_id", "idx", "phrase"]
+    lists = named.select(*own).distinct().join(n, ["corpus", "idx", "phrase"]).join(F.broadcast(index.stats), ["corpus", "idx"])
+    ratio = F.log((F.col("n_docs") - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
+    lists = written(lists.select(*own, F.monotonically_increasing_id().alias("list"), F.when(ratio <= 0, F.lit(LEAST_IDF)).otherwise(ratio).alias("idf"), "avg_len"), "lists")
+
+    on = ["corpus", "idx", "token", "user_id"]
+    places = written(named.select(*own, "width", "off", "token").distinct().join(lists.select(*own, "list"), own).select(*on, "list", "width", "off"), "places")
+    one = index.postings.join(bounded(places.where("width = 1").select(*on, "list"), MOST_PLACES), on).groupBy("list", "doc", "message", "len").agg(F.count(F.lit(1)).alias("tf"))
+    if not places.where("width > 1").isEmpty():
+        one = one.unionByName(occurrences(places.where("width > 1"), index.postings, ["list"], on))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    parts = one.join(bounded(lists.select("list", "idf", "avg_len"), BROADCAST_IDS), "list").select("list", "doc", "message", part.alias("part"))
+    parts = written(parts.sortWithinPartitions("list", "doc"), "parts", dense=True)
+
+    terms = named.where("off = 0").join(lists.select(*own, "list"), own).join(pools.select("query_id", "pool"), "query_id")
+    groups = written(terms.select("query_id", "family", "idx", "pool").distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+    terms = terms.drop("pool").join(groups, ["query_id", "family", "idx"]).select("group", "family", "kind", "no", "list", "pool")
+    # steps of a 32nd of an octave: few for a list however long it is
+    steps = parts.groupBy("list", F.floor(F.log2("part") * 32).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"))
+    steps = written(steps.withColumn("above", F.sum("n").over(Window.partitionBy("list").orderBy(F.desc("step")))), "steps")
+    bars = terms.select("list", "pool").distinct().join(steps, "list").where("above >= pool").groupBy("list", "pool").agg(F.max("low").alias("bar"))
+    terms = terms.join(steps.groupBy("list").agg(F.sum("n").alias("n")), "list").join(bars, ["list", "pool"], "left")
+    bar = F.coalesce(F.max(F.when(F.col("family") == "any", F.col("bar"))).over(Window.partitionBy("group")), F.lit(0.0))
+    # scores that are equal when rounded count as equal, so there is some room
+    terms = written(terms.select("group", "list", "n", (F.col("kind") == "entity").alias("e"), (F.col("kind") == "content").alias("c"), (F.col("family") == "any").alias("any"), (bar - F.lit(1e-9) * (1 + bar)).alias("bar")), "terms")
+
+    rows, matches = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = 1 + rows // MOST_ASKED
+    dealt = parts.repartition(1 + matches // blocks // 1_000_000, "doc")
+    scored = None
+    for b in range(blocks):
+        asked = F.broadcast(terms.where(F.pmod(F.xxhash64("group"), F.lit(blocks)) == b).drop("n"))
+        met = dealt.join(asked, "list").groupBy("group", "doc", "message")
+        met = met.agg(F.sum("part").alias("score"), F.first("bar").alias("bar"), F.first("any").alias("any"), F.bool_or("e").alias("e"), F.bool_or("c").alias("c"))
+        met = met.where("score >= bar and (any or (e and c))").select("group", "doc", "message", "score")
+        scored = scored.unionByName(met) if scored else met
+    scored = scored.join(bounded(groups, BROADCAST_IDS), "group")
+    order = Window.partitionBy("group").orderBy(F.round("score", 12).desc(), F.col("message").desc(), F.col("doc").desc())
+    out = scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= MOST_POOL) & (F.col("rank") <= F.col("pool")))
+    out = written(out.select("query_id", "family", "idx", "doc", "message", "score", "pool", "rank"), "ranked")
+    discard(named, lists, places, parts, groups, steps, terms)
+    return out
+
+
 def ranked(scores: DataFrame, pools: DataFrame) -> DataFrame:
     """The best of each channel, with their rank from 1: by score, then the newest message first.
 
@@ -111,12 +182,17 @@ def final_order(prefix: str = "") -> list:
 
 
 def distinct_contents(candidates: DataFrame) -> DataFrame:
-    """The best of each case-folded content, with `place` from 1 in the final order."""
-    best = Window.partitionBy("query_id", casefold(F.col("content"))).orderBy(*final_order())
+    """The best of each case-folded content (column `same`), with `place` from 1 in the final order."""
+    best = Window.partitionBy("query_id", "same").orderBy(*final_order())
     kept = candidates.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*final_order())))
 
 
+def same(content: Column) -> Column:
+    """Equal for contents that count as the same; far shorter than they are."""
+    return text_digest(casefold(content)).alias("same")
+
+
 def all_channels() -> list[tuple[str, str]]:
     assert {i.removesuffix("_porter") for _, i in WEIGHTS} == set(BASES)
     return list(WEIGHTS)

@@ -33,11 +33,11 @@ def accepted(queries: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, index: Index, messages: DataFrame, bonus: float = 0.0, channels: list[tuple[str, str]] | None = None) -> DataFrame:
-    """All fused candidates: query_id, message, content, created_at, event_ts, rrf and score."""
+    """All fused candidates: query_id, message, same (a digest of the content), event_ts, rrf and score."""
     q = held(analysed(queries))
-    ranks = rank.ranked(rank.bm25(phrases(q), index, channels or rank.all_channels()), q)
+    ranks = rank.best(phrases(q), index, channels or rank.all_channels(), q)
     # at most nine pools for each query; which side is broadcast is settled by their size at run time
-    own = messages.select(F.col("id").alias("message"), "content", "created_at", "event_ts").join(rank.fused(ranks), "message")
+    own = messages.select(F.col("id").alias("message"), "content", "event_ts").join(rank.fused(ranks), "message").withColumn("same", rank.same(F.col("content"))).drop("content")
     return rank.with_time(own.join(q.select("query_id", "direction"), "query_id"), bonus)
 
 
@@ -54,9 +54,11 @@ def search(queries: DataFrame, index: Index, messages: DataFrame, bonus: float =
         queries = queries.withColumn("planned", strings(model.plan_query(F.col("query"), F.col("options")), MOST_TERMS))
     kept = rank.distinct_contents(candidates(queries, index, messages, bonus, channels))
     kept = kept.withColumn("id", F.concat(F.lit("mem_"), F.col("message").cast("string")))
+    own = messages.select(F.col("id").alias("message"), "content", "created_at")
     asked = queries.select("query_id", "query", "options", "top_k")
     if model:
         # a query has at most nine pools of candidates, so its list is bounded
+        kept = kept.join(own, "message")
         lists = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "content"))), lambda x: F.struct(x["id"].alias("id"), x["content"].alias("content"))).alias("offered"))
         lists = lists.join(asked.select("query_id", "query", "options"), "query_id")
         order = allowed_order(model.rank_candidates(F.col("query"), F.col("options"), F.col("offered")), F.transform("offered", lambda x: x["id"]))
@@ -64,6 +66,8 @@ def search(queries: DataFrame, index: Index, messages: DataFrame, bonus: float =
         at = F.coalesce(F.nullif(F.array_position("order", F.col("id")), F.lit(0)), F.size("order") + 1)
         kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(at, "place")))
     out = kept.join(asked.select("query_id", "top_k"), "query_id").where("place <= top_k")
+    # contents are long, so only results get theirs
+    out = out if model else out.join(own, "message")
     return out.select("query_id", F.col("place").cast("long").alias("place"), "id", "content", F.bround("score", 6).alias("score"), "created_at")
 
 
@@ -71,6 +75,6 @@ def baseline(queries: DataFrame, index: Index, messages: DataFrame) -> DataFrame
     """The frozen earlier retriever: the raw channel alone, stop words and all, without fusion or removal of repeats."""
     q = analysed(accepted(queries)).withColumn("terms", F.col("raw")).withColumn("entities", F.array().cast("array<string>"))
     q = held(q.withColumn("pool", F.col("top_k")))
-    best = rank.ranked(rank.bm25(phrases(q), index, [("any", "raw")]), q)
+    best = rank.best(phrases(q), index, [("any", "raw")], q)
     own = messages.select(F.col("id").alias("message"), "content", "created_at").join(best, "message")
     return own.select("query_id", F.col("rank").cast("long").alias("place"), F.concat(F.lit("mem_"), F.col("message").cast("string")).alias("id"), "content", F.bround("score", 6).alias("score"), "created_at")

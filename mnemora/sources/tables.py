@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -37,16 +38,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again.
+def written(df: DataFrame, name: str, dense: bool = False) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again; with `dense` in fewer bytes and more time.
 
     This cuts the lineage: later readers need neither the executors nor the work that made it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", "zstd") if dense else df.write).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and nothing reads any more; and let Spark delete the shuffles of what has ended.
+
+    Spark deletes them when the driver's garbage is collected, which may be long after the disk is full.
+    """
+    for df in tables:
+        if path := df.__dict__.get("_written_at"):
+            _deleted(df.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 #: Most ids with digests that are broadcast: some 100 bytes each. Beyond it a join is an ordinary one.
@@ -93,9 +114,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _deleted(spark, path)
         except Exception:  # the session has ended; its folder goes with it
             return
 
